@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality_rules, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
