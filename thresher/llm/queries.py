@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import quality_rules, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op5_secret_scans": secrets.op5_secret_scans,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
