@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secrets, sharding, simhash
+from . import packing, quality_rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
