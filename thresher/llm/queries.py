@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, secrets, sharding, simhash
+from . import bpe, packing, quality_rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_packing": packing.op7_packing,
