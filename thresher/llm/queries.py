@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, secrets, sharding, simhash
+from . import bpe, packing, quality_rules, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
