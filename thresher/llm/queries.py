@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, secrets, sharding, simhash, toxicity
+from . import bpe, packing, quality_rules, secrets, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
