@@ -65,9 +65,9 @@ def each_group(
     return picked.mapInArrow(run, schema)
 
 
-def _numpy(column: pa.ChunkedArray) -> np.ndarray:
-    """Lists of equal length become a matrix."""
+def _numpy(column: pa.ChunkedArray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Of lists: all values, and the length of each list."""
     if pa.types.is_list(column.type):
-        flat = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        lists = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
     return column.to_numpy()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, secrets, sharding, simhash, toxicity, warc
+from . import approximate_neighbours, bpe, packing, quality_rules, secrets, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_approximate_neighbours": approximate_neighbours.op2_approximate_neighbours,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
