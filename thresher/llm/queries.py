@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import approximate_neighbours, bpe, packing, quality_rules, secrets, sharding, simhash, toxicity, warc
+from . import approximate_neighbours, bpe, packing, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_approximate_neighbours": approximate_neighbours.op2_approximate_neighbours,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_packing": packing.op7_packing,
