@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, table
 
 WINDOW = 8
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct_words")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_letters", "n_symbol_runs", "n_distinct_words")
 
 
 def _covered(starts: Column) -> Column:
@@ -52,6 +52,8 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).alias("n_symbols"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).alias("n_upper"),
         F.length(F.regexp_replace("text", r"[^0-9]+", "")).alias("n_digits"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("n_letters"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]+")).alias("n_symbol_runs"),
         F.size(F.array_distinct("words")).alias("n_distinct_words"),
         lines.alias("lines"),
         windows.alias("windows"),
@@ -72,8 +74,8 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.when(F.col("sorted").isNull(), F.lit(0)).otherwise(_covered(starts)).alias("n_repeat_words"),
-        F.size("lines").alias("n_lines"), "n_upper", "n_digits", "n_distinct_words",
-    )
+        F.size("lines").alias("n_lines"), "n_upper", "n_digits", "n_letters", "n_symbol_runs", "n_distinct_words",
+    )
     return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in STATS))
 
 
@@ -92,13 +94,15 @@ def votes() -> dict[str, Column]:
     mean = chars / words
     return {
         "length": _vote(words < 20, words >= 50),
-        "symbols": _vote(share("n_symbols", words) > 0.3, share("n_symbols", words) < 0.1),
+        "symbols": _vote(share("n_symbols", words) > 0.1, share("n_symbols", words) < 0.02),
+        "symbol_runs": _vote(share("n_symbol_runs", words) > 0.1, share("n_symbol_runs", words) < 0.02),
+        "letters": _vote(share("n_letters", chars) < 0.85, share("n_letters", chars) > 0.92),
         "repeats": _vote(share("n_repeat_words", words) > 0.3, share("n_repeat_words", words) < 0.05),
         "dup_lines": _vote(share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))) > 0.3, F.col("n_dup_lines") == 0),
         "shouting": _vote(share("n_upper", chars) > 0.4, share("n_upper", chars) < 0.15),
         "digits": _vote(share("n_digits", chars) > 0.3, share("n_digits", chars) < 0.1),
         "word_length": _vote((mean < 2) | (mean > 14), (mean >= 3) & (mean <= 9)),
-        "variety": _vote((words >= 50) & (share("n_distinct_words", words) < 0.1), share("n_distinct_words", words) > 0.25),
+        "variety": _vote((words >= 50) & (share("n_distinct_words", F.least(words, F.lit(1000))) < 0.1), share("n_distinct_words", words) > 0.25),
     }
 
 
@@ -107,42 +111,41 @@ RULES = tuple(votes())
 
 @dataclass(frozen=True)
 class LabelModel:
-    """log P(vote | good) - log P(vote | bad) for votes -1, 0, 1 of each rule, and the prior's log odds."""
+    """log P(vote | good) - log P(vote | bad) for bad and good votes of each rule, and the prior's log odds."""
 
     prior: float
-    weights: dict[str, tuple[float, float, float]]
+    weights: dict[str, tuple[float, float]]
 
     def posterior(self) -> Column:
         odds = F.lit(self.prior)
-        for rule, (bad, none, good) in self.weights.items():
-            odds = odds + F.when(F.col(rule) < 0, bad).when(F.col(rule) > 0, good).otherwise(none)
+        for rule, (bad, good) in self.weights.items():
+            odds = odds + F.when(F.col(rule) < 0, bad).when(F.col(rule) > 0, good).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rules: tuple[str, ...] = RULES, rounds: int = 60) -> LabelModel:
     """EM over vote patterns (one row each, in -1, 0, 1) with their counts.
 
-    Beta(8, 2)-like pseudo-votes keep a rule that hardly ever votes near its initial
-    accuracy, and anchor which of the two classes is the good one. No patterns: the priors.
+    A bad document is one that some rules find bad; most rules find it good all the same. A
+    good one hardly ever gets a bad vote. EM starts there, and pseudo-votes (a thousandth of
+    the corpus) keep rules that hardly ever vote near that start. Abstaining says nothing. No patterns:
+    the priors.
     """
-    m, total = len(rules), max(1.0, float(counts.sum()))
-    pseudo = 0.02 * total + 1
-    # table[class, rule, vote + 1]; class 1 is good
-    start = np.array([[0.6, 0.2, 0.2], [0.02, 0.18, 0.8]])
-    prob = np.repeat(start[:, None, :], m, axis=1)
-    prior = 0.8
+    total = max(1.0, float(counts.sum()))
+    pseudo = 0.001 * total + 1
+    bad_vote, good_vote = (patterns < 0).astype(float), (patterns > 0).astype(float)
+    # false_alarm and hit: the chance of a bad vote, given any, in good and in bad documents
+    start = 0.003, 0.3
+    false_alarm, hit, prior = np.full(len(rules), start[0]), np.full(len(rules), start[1]), 0.8
     for _ in range(rounds if len(patterns) else 0):
-        logs = np.stack([np.log(prob[c][np.arange(m), patterns + 1]).sum(axis=1) for c in (0, 1)])
-        odds = np.log(prior / (1 - prior)) + logs[1] - logs[0]
-        good = 1 / (1 + np.exp(-odds))
-        weight = np.stack([counts * (1 - good), counts * good])
-        for c in (0, 1):
-            for v in (-1, 0, 1):
-                prob[c, :, v + 1] = ((patterns == v) * weight[c][:, None]).sum(axis=0) + pseudo * start[c, v + 1]
-        prob /= prob.sum(axis=2, keepdims=True)
-        prior = (weight[1].sum() + 0.8 * pseudo) / (total + pseudo)
-    ratio = np.log(prob[1] / prob[0])
-    return LabelModel(float(np.log(prior / (1 - prior))), {r: tuple(map(float, ratio[j])) for j, r in enumerate(rules)})
+        odds = np.log(prior / (1 - prior)) + bad_vote @ np.log(false_alarm / hit) + good_vote @ np.log((1 - false_alarm) / (1 - hit))
+        good = counts / (1 + np.exp(-np.clip(odds, -50, 50)))
+        false_alarm, hit = (
+            (w @ bad_vote + pseudo * s) / (w @ (bad_vote + good_vote) + pseudo) for w, s in ((good, start[0]), (counts - good, start[1]))
+        )
+        prior = (good.sum() + 0.8 * pseudo) / (total + pseudo)
+    weights = zip(np.log(false_alarm / hit), np.log((1 - false_alarm) / (1 - hit)), strict=True)
+    return LabelModel(float(np.log(prior / (1 - prior))), {r: (float(b), float(g)) for r, (b, g) in zip(rules, weights, strict=True)})
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -150,7 +153,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     stats = cut(text_stats(docs, id_col, text_col), "rule-stats")
     voted = stats.select("*", *(v.cast("int").alias(f"vote_{k}") for k, v in votes().items()))
     columns = [f"vote_{r}" for r in RULES]
-    seen = voted.groupBy(*columns).count().collect()
+    # What fails outright tells nothing of the others, so the model is fitted without it.
+    seen = voted.where(~base_failed()).groupBy(*columns).count().collect()
     patterns = np.array([[r[c] for c in columns] for r in seen], dtype=np.int64).reshape(len(seen), len(columns))
     model = fit_label_model(patterns, np.array([r["count"] for r in seen], dtype=np.float64))
     model = LabelModel(model.prior, {f"vote_{k}": w for k, w in model.weights.items()})
