@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .pieces import PieceTable, piece_columns, piece_lists
+from .pieces import PieceTable
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 _MERGES: dict = {}
@@ -48,7 +48,7 @@ class MergeReplay:
         key = a << 32 | b
         rank = self.pairs.get(key)
         if rank is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank
@@ -134,7 +134,7 @@ def merges(path: str) -> MergeReplay:
     return _MERGES[path]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rows_at_once: int = 2000) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rows_at_once: int = 1000) -> DataFrame:
     """The id column and ids, an array of int, of every whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -145,13 +145,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for whole in batches:
             for k in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(k, rows_at_once)
-                flat, ends = encoder.ids(piece_lists(batch.column(2), batch.column(1)))
+                flat, ends = encoder.ids(batch.column(1))
                 places = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(places, pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
-    listed, text = piece_columns(F.coalesce(F.col(text_col), F.lit("")))
-    ready = docs.select(F.col(id_col), text.alias("_text"), listed.alias("_pieces"))
+    ready = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return ready.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
