@@ -1,11 +1,16 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint's 64 bits fall into three parts. If two fingerprints differ in at most d
-bits, then some part differs in at most d // 3. The anchors of a part are the words of the
-perfect binary Golay code of length 23: every point has one anchor within the covering
-radius 3, its home. A fingerprint is stored at its home and copied to every anchor within
-the radius plus d // 3; whatever is near it is met at the near one's home. Per anchor the
-stored and the copied fingerprints are compared; links become components.
+A fingerprint's bits fall into parts. The anchors of a part are the words of a perfect
+code: every point has one anchor within the covering radius, its home. A fingerprint is
+stored at its home and copied to every anchor within the radius plus the differences that a
+part may have; whatever is near it is met at the near one's home. Per anchor the stored and
+the copied fingerprints are compared; links become components.
+
+Two codes cover two uses. EXACT finds every pair of 64-bit fingerprints within 4 (or 5)
+bits: of three parts one differs in at most 1 bit; Golay code of length 23, radius 3. WIDE
+takes 128-bit fingerprints, eight parts of 15 bits and the Hamming code of length 15,
+radius 1, for similarities about 0.8, where fingerprints differ in 15 % of their bits: of
+eight parts one differs in at most 1 bit for 95 % of such pairs, for 98 % at 0.85.
 
 Equal fingerprints are one point, so copies are never compared. A crowded anchor is a grid
 of bounded cells. Cells return spanning stars of what they link, not all pairs.
@@ -18,6 +23,7 @@ results; an empty table gives an empty result; other columns of the input are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
 
@@ -31,73 +37,92 @@ from .blocks import each_group, spread
 from .common import cut, table
 from .graph import components, star_edges
 
-#: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, generator of the [23, 12] Golay code, and its covering radius.
-GOLAY, LENGTH, RADIUS = 0b110001110101, 23, 3
-PARTS = ((0, 22), (22, 21), (43, 21))
+@dataclass(frozen=True)
+class Cover:
+    """words: 64-bit words of a fingerprint; parts: (word, first bit, bits); generator: of the cyclic code; slack: differences in a part."""
 
+    words: int
+    parts: tuple[tuple[int, int, int], ...]
+    generator: int
+    length: int
+    radius: int
+    slack: int
 
-def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
-    """Majority of the bits of the XXH64 of all word shingles; signed."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+
+#: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the [23, 12] Golay code, x^4 + x + 1 the [15, 11] Hamming code.
+EXACT = Cover(1, ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 0b110001110101, 23, 3, 1)
+WIDE = Cover(2, tuple((w, b, 15) for w in (0, 1) for b in (0, 15, 30, 45)), 0b10011, 15, 1, 1)
+
+
+def fingerprint(text: str | None, size: int = 4, seed: int = 42, words: int = 1) -> list[int]:
+    """Majority of the bits of the XXH64 of all word shingles; signed. Further words take the bits of the mixed hashes."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return [0] * words
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - size + 1)
+    n = max(1, len(found) - size + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), dtype=np.uint64, count=n)
-    set_bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big", signed=True)
+    out = []
+    for _ in range(words):
+        set_bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big", signed=True))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """The id column and fp, a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, words: int = 1) -> DataFrame:
+    """The id column and the words w0, ... of the fingerprint, longs."""
+    names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py(), size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=[id_col, "fp"])
+            values = [fingerprint(t.as_py(), size, words=words) for t in batch.column(1)]
+            columns = [pa.array([v[k] for v in values], pa.int64()) for k in range(words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 @cache
-def _syndromes() -> np.ndarray:
+def _syndromes(cover: Cover) -> np.ndarray:
     """What remains of each single bit, divided by the generator polynomial."""
-    out = []
-    for k in range(LENGTH):
+    degree, out = cover.generator.bit_length() - 1, []
+    for k in range(cover.length):
         x = 1 << k
-        for j in range(k, 10, -1):
+        for j in range(k, degree - 1, -1):
             if x >> j & 1:
-                x ^= GOLAY << (j - 11)
+                x ^= cover.generator << (j - degree)
         out.append(x)
     return np.array(out, dtype=np.int64)
 
 
 @cache
-def _patterns(most: int) -> tuple[np.ndarray, np.ndarray]:
+def _patterns(cover: Cover, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns of at most `most` bits, ordered by syndrome, then weight; where each syndrome starts."""
     found = [(0, 0, 0)]
-    single = _syndromes().tolist()
+    single = _syndromes(cover).tolist()
     for w in range(1, most + 1):
-        for bits in combinations(range(LENGTH), w):
+        for bits in combinations(range(cover.length), w):
             s = e = 0
             for k in bits:
                 s, e = s ^ single[k], e | 1 << k
             found.append((s, w, e))
     found.sort()
     syndrome = np.array([f[0] for f in found])
-    return np.array([f[2] for f in found], dtype=np.int64), np.searchsorted(syndrome, np.arange(2**11 + 1))
+    return np.array([f[2] for f in found], dtype=np.int64), np.searchsorted(syndrome, np.arange(2 ** (cover.generator.bit_length() - 1) + 1))
 
 
-def anchors(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For 23-bit points: row index and anchor of every anchor within `most` bits, nearest first."""
-    patterns, starts = _patterns(most)
+def anchors(points: np.ndarray, cover: Cover, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row index and anchor of every anchor within `most` bits of each point, nearest first."""
+    patterns, starts = _patterns(cover, most)
     s = np.zeros(len(points), dtype=np.int64)
-    for k, one in enumerate(_syndromes().tolist()):
+    for k, one in enumerate(_syndromes(cover).tolist()):
         s ^= np.where(points >> k & 1, one, 0)
     n = starts[s + 1] - starts[s]
     row = np.repeat(np.arange(len(points)), n)
@@ -105,34 +130,36 @@ def anchors(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return row, points[row] ^ patterns[starts[s][row] + within]
 
 
-def _replicas(distance: int):
-    """Rows key, side, fp: side 0 at the home anchors, side 1 at every anchor near enough."""
-    near = RADIUS + distance // len(PARTS)
+def _replicas(cover: Cover):
+    """Rows key, side, node and words: side 0 at the home anchors, side 1 at every anchor near enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for number, (shift, width) in enumerate(PARTS):
-                point = (fp.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
-                for side, most in ((0, RADIUS), (1, near)):
-                    row, anchor = anchors(point, most)
-                    columns = [pa.array(number << LENGTH | anchor), pa.array(np.full(len(row), side, dtype=np.int32)), pa.array(fp[row])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "side", "fp"])
+            words = [batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(cover.words)]
+            for number, (word, shift, width) in enumerate(cover.parts):
+                point = (words[word].view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
+                for side, most in ((0, cover.radius), (1, cover.radius + cover.slack)):
+                    row, anchor = anchors(point, cover, most)
+                    columns = [pa.array(number << cover.length | anchor), pa.array(np.full(len(row), side, dtype=np.int32))]
+                    columns += [batch.column(0).take(pa.array(row)), *(pa.array(w[row]) for w in words)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "side", "node", *batch.schema.names[1:]])
 
     return run
 
 
-def _compare(distance: int, rows_at_once: int = 256):
+def _compare(words: list[str], distance: int, rows_at_once: int = 256):
     def run(group: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        left, right = (np.unique(group["fp"][group["side"] == s]) for s in (0, 1))
-        nodes = np.union1d(left, right)
-        at_left, at_right = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+        nodes, at = np.unique(group["node"], return_index=True)
+        number = np.searchsorted(nodes, group["node"])
+        bits = [group[w][at].view(np.uint64) for w in words]
+        left, right = (np.unique(number[group["side"] == s]) for s in (0, 1))
         a = b = np.zeros(0, dtype=np.int64)
         for k in range(0, len(left), rows_at_once):
-            some = left[k : k + rows_at_once].view(np.uint64)
-            i, j = np.nonzero(np.bitwise_count(some[:, None] ^ right.view(np.uint64)[None, :]) <= distance)
-            a, b = np.concatenate([a, at_left[k + i]]), np.concatenate([b, at_right[j]])
-            if len(a) > 4 * len(nodes):  # as many links as a spanning star needs
+            some = left[k : k + rows_at_once]
+            differ = sum(np.bitwise_count(x[some][:, None] ^ x[right][None, :]).astype(np.int16) for x in bits)
+            i, j = np.nonzero(differ <= distance)
+            a, b = np.concatenate([a, some[i]]), np.concatenate([b, right[j]])
+            if len(a) > 4 * len(nodes):  # many more links than a spanning star needs
                 a, b = np.arange(len(nodes)), star_edges(len(nodes), a, b)
         root = star_edges(len(nodes), a, b)
         tied = np.flatnonzero(root != np.arange(len(nodes)))
@@ -143,28 +170,35 @@ def _compare(distance: int, rows_at_once: int = 256):
     return run
 
 
-def link(points: DataFrame, distance: int = 4, chunk: int = 4096) -> DataFrame:
-    """Links a-b that connect whatever distinct fingerprints (column fp) lie within the distance."""
-    if distance > 2 * len(PARTS) + 2:
-        raise ValueError("a distance this large would copy every fingerprint to most anchors")
+def link(points: DataFrame, distance: int = 4, cover: Cover = EXACT, chunk: int = 4096) -> DataFrame:
+    """Links a-b that connect the nodes of points (node, w0, ...), distinct fingerprints, within the distance."""
+    if cover is EXACT and distance >= len(cover.parts) * (cover.slack + 1):
+        raise ValueError("the code doesn't reach all pairs at this distance")
+    words = [f"w{k}" for k in range(cover.words)]
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = points.select("fp").mapInArrow(_replicas(distance), "key bigint, side int, fp bigint")
-    cells = spread(rows, "key", "side", "fp", chunk)
-    return each_group(cells, "cell", ["side", "fp"], _compare(distance), "a bigint, b bigint", parts)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
-    """The id column, fp, and component_id, the least id that links reach."""
-    prints = cut(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    points = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "points")
-    roots = components(link(points, distance))
-    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    schema = "key bigint, side int, node bigint, " + ", ".join(f"{w} bigint" for w in words)
+    rows = points.select("node", *words).mapInArrow(_replicas(cover), schema)
+    cells = spread(rows, "key", "side", "node", chunk)
+    return each_group(cells, "cell", ["side", "node", *words], _compare(words, distance), "a bigint, b bigint", parts)
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4, cover: Cover = EXACT
+) -> DataFrame:
+    """The id column, the fingerprint's words w0, ..., and component_id, the least id that links reach."""
+    words = [f"w{k}" for k in range(cover.words)]
+    prints = cut(fingerprints(docs, id_col, text_col, size, cover.words), "fingerprints")
+    # Nodes need an order of their own, as ids may be null: of one word the word itself, else a number.
+    node = F.col("w0") if cover.words == 1 else F.monotonically_increasing_id()
+    points = cut(prints.groupBy(*words).agg(F.min(id_col).alias("least")).select(node.alias("node"), *words, "least"), "points")
+    roots = components(link(points, distance, cover)).withColumnRenamed("node", "tied")
+    rooted = points.join(roots, points["node"] == roots["tied"], "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     rooted = cut(rooted, "rooted")
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    labels = cut(rooted.join(named, "root").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp").select(id_col, "fp", "component_id")
+    labels = cut(rooted.join(named, "root").select(*words, "component_id"), "labels")
+    return prints.join(labels, words).select(id_col, *words, "component_id")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
