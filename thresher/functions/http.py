@@ -116,7 +116,7 @@ def retry_after_ms(values: Column, now_ms: Column) -> Column:
         x = trim(raw)
         seconds = x.try_cast("bigint")
         date = F.try_to_timestamp(F.concat(F.regexp_extract(x, r"^[A-Za-z]+,? +(\d{1,2}[ -][A-Za-z]{3}[ -]\d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z"))
-        return F.when(x.rlike(r"^\d+$"), F.when(seconds * 1000 <= SAFE, seconds * 1000)).otherwise(F.greatest(F.lit(0), F.unix_millis(date) - now_ms))
+        return F.when(x.rlike(r"^\d+$"), F.when(seconds * 1000 <= SAFE, seconds * 1000)).when(date.isNotNull(), F.greatest(F.lit(0), F.unix_millis(date) - now_ms))
 
     usable = F.filter(F.transform(values, one), lambda v: v.isNotNull())
     return F.get(usable, F.lit(0))

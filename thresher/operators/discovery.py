@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.values import string_value, value
+from ..sources.staging import stage
 from .flatten import Walk, flatten
 
 JSON_LD_BYTES = 1_000_000
@@ -252,7 +253,7 @@ def _found(rows: DataFrame, key: str, name: Column, x: Column, rank: str, rule:
 
 def dom(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """Properties that a page's structure names, the strongest first, and warnings for what limits left out."""
-    e = with_evidence(elements)
+    e = stage(with_evidence(elements).drop("script", "last", "n_desc", "n_children", "own_text", "excluded", "best_class", "scope"), "evidence")
     attrs, tag, best, open_ = F.col("attrs"), F.col("tag"), F.col("best"), ~F.col("suppressed")
     siblings = Window.partitionBy(key, "parent")
     in_order = siblings.orderBy("ord")

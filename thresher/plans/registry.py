@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "validated_records"
+from .queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "page_records"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
