@@ -41,17 +41,16 @@ class MergeReplay:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pairs: dict[int, int] = {}
-
-    def pair_rank(self, a: int, b: int) -> int:
-        """The rank of what the two tokens make together, or -1."""
-        key = a << 32 | b
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) > 300_000:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return rank
+        # Every pair of tokens that makes a token, sorted by pair.
+        whole = [(self.ranks[t[:k]] << 32 | self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        pairs = np.array(sorted(whole), dtype=np.int64).reshape(-1, 2)
+        self.pairs, self.merged = np.append(pairs[:, 0], np.int64(2**62)), np.append(pairs[:, 1], -1)
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of what pairs of tokens make together, or -1."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.merged[at], -1)
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece."""
@@ -67,63 +66,60 @@ class MergeReplay:
     def _replay(self, pieces: list[bytes]) -> list[list[int]]:
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         ends = np.cumsum(sizes)
-        token_array = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        piece_array = np.repeat(np.arange(len(pieces)), sizes)
-        token, piece = token_array.tolist(), piece_array.tolist()
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        # The index: positions of each rank. Equal pairs are looked up once.
-        inside = np.flatnonzero(piece_array[:-1] == piece_array[1:])
-        pairs, kind = np.unique(token_array[inside] << 32 | token_array[inside + 1], return_inverse=True)
-        rank = np.array([self.pair_rank(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], dtype=np.int64)
-        ranked = rank[kind] if len(pairs) else np.zeros(0, dtype=np.int64)
-        order = np.argsort(ranked, kind="stable")
-        found, starts = np.unique(ranked[order], return_index=True)
-        index = {r: at.tolist() for r, at in zip(found.tolist(), np.split(inside[order], starts[1:]), strict=False) if r >= 0}
-        heap = list(index)
-        heapq.heapify(heap)
-
-        pair_rank = self.pair_rank
+        n = int(ends[-1])
+        # A guard of no token stands before, between and after pieces.
+        place = np.arange(n) + np.repeat(np.arange(1, len(pieces) + 1), sizes)
+        token = np.full(n + len(pieces) + 1, -1, dtype=np.int32)
+        token[place] = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        after, before = np.arange(1, len(token) + 1, dtype=np.int32), np.arange(-1, len(token) - 1, dtype=np.int32)
+        piece = np.zeros(len(token), dtype=np.int32)
+        piece[place] = np.repeat(np.arange(len(pieces)), sizes)
+
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(at: np.ndarray) -> np.ndarray:
+            """Puts the pairs at these positions into the index; their ranks."""
+            left, right = token[at], token[after[at]]
+            rank = np.where((left >= 0) & (right >= 0), self.pair_ranks(left, np.maximum(right, 0)), -1)
+            order = np.argsort(rank, kind="stable")
+            sorted_rank = rank[order]
+            starts = np.flatnonzero(np.diff(sorted_rank, prepend=-1))  # what makes no token comes first and is left out
+            bounds = [*starts.tolist(), len(order)]
+            for r, a, b in zip(sorted_rank[starts].tolist(), bounds, bounds[1:], strict=False):
+                if r in index:
+                    index[r].append(at[order[a:b]])
+                else:
+                    index[r] = [at[order[a:b]]]
+                    heapq.heappush(heap, r)
+            return rank
+
+        enter(place)
         while heap:
             r = heapq.heappop(heap)
-            places = index.pop(r, None)
-            if places is None:
+            entry = index.pop(r)
+            at = np.unique(np.concatenate(entry)) if len(entry) > 1 else np.unique(entry[0])
+            left = token[at]
+            right = token[after[at]]
+            at = at[(left >= 0) & (right >= 0) & (self.pair_ranks(left, np.maximum(right, 0)) == r)]
+            if not len(at):
                 continue
-            waits = -1  # a piece that got a pair of lower rank: that one comes first
-            later = []
-            for at in sorted(places):
-                if piece[at] == waits:
-                    later.append(at)
-                    continue
-                nxt = after[at]
-                if token[at] < 0 or nxt >= n or piece[nxt] != piece[at] or pair_rank(token[at], token[nxt]) != r:
-                    continue
-                token[at], token[nxt] = r, -1
-                after[at] = far = after[nxt]
-                if far < n:
-                    before[far] = at
-                own = piece[at]
-                for left, right in ((before[at], at), (at, far)):
-                    if left < 0 or right >= n or piece[left] != own or piece[right] != own:
-                        continue
-                    new = pair_rank(token[left], token[right])
-                    if new < 0:
-                        continue
-                    if new in index:
-                        index[new].append(left)
-                    else:
-                        index[new] = [left]
-                        heapq.heappush(heap, new)
-                    if new < r:
-                        waits = own
-            if later:
-                index[r] = later
+            # Pairs that overlap: the leftmost goes first, and the rest waits; so does what follows in the same piece if a merge makes a pair of lower rank.
+            own = piece[at]
+            first = np.concatenate([[True], own[1:] != own[:-1]])
+            if not first.all():
+                index[r] = [at[~first]]
                 heapq.heappush(heap, r)
-        merged = np.array(token)
-        left_over = merged >= 0
+                at = at[first]
+            gone = after[at]
+            far = after[gone]
+            token[at], token[gone] = r, -2
+            after[at], before[far] = far, at
+            enter(np.concatenate([before[at], at]))
+        rest = token[place]
+        left_over = rest >= 0
         counts = np.concatenate([[0], np.cumsum(left_over)])[np.concatenate([[0], ends])].tolist()
-        flat = merged[left_over].tolist()
+        flat = rest[left_over].tolist()
         return [flat[a:b] for a, b in zip(counts, counts[1:], strict=False)]
 
 
@@ -134,16 +130,19 @@ def merges(path: str) -> MergeReplay:
     return _MERGES[path]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rows_at_once: int = 1000) -> DataFrame:
-    """The id column and ids, an array of int, of every whole text."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, slice_rows: int = 4000) -> DataFrame:
+    """The id column and ids, an array of int, of every whole text. slice_rows: texts whose merges are replayed together."""
+    rows_at_once = 1000
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _TABLES:
-            _TABLES[vocabulary] = PieceTable(merges(vocabulary).encode)
+            _TABLES[vocabulary] = PieceTable(merges(vocabulary).encode, most=400_000)
         encoder = _TABLES[vocabulary]
         for whole in batches:
             for k in range(0, whole.num_rows, rows_at_once):
+                if k % slice_rows == 0:
+                    encoder.learn(whole.column(1).slice(k, slice_rows), rows_at_once)
                 batch = whole.slice(k, rows_at_once)
                 flat, ends = encoder.ids(batch.column(1))
                 places = pa.array(np.concatenate([[0], ends]).astype(np.int32))
@@ -157,20 +156,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """The id and ids columns and bytes, what the ids stand for; null ids: no bytes."""
     kind = encoded.schema[id_col].dataType.simpleString()
+    rows_at_once = 500
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = merges(vocabulary).tokens
         sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        for batch in batches:
-            lists = batch.column(1)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or not sizes[ids].all()):
-                raise ValueError("ids that the vocabulary lacks")
-            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])]
-            data = b"".join([tokens[i] for i in ids.tolist()])
-            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, raw], names=[id_col, ids_col, "bytes"])
+        data, stops = np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(sizes)
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(k, rows_at_once)
+                ids = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens) or not sizes[ids].all()):
+                    raise ValueError("ids that the vocabulary lacks")
+                n = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                width = sizes[ids]
+                ends = np.concatenate([[0], np.cumsum(width)])
+                out = data[np.arange(ends[-1]) + np.repeat(stops[ids] - ends[1:], width)]
+                places = ends[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[id_col, ids_col, "bytes"])
 
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, bytes binary")
 

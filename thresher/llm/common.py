@@ -1,60 +1,24 @@
-"""Helpers shared by the corpus operators: reading tables, cutting lineage, drawing salts."""
+"""What the corpus operators share: reading tables, and cutting lineage by staging."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir
+from ..sources.staging import stage as cut
+from ..sources.staging import unstage as drop_cut
+
+__all__ = ["SPACE", "cut", "drop_cut", "fraction_of", "shared_dir", "table"]
+
 #: ASCII white space, as the word rules of the operators define it.
 SPACE = r"[\x20\x09-\x0D]"
 
-_LOCAL_SHARED: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a local master may fall back on a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SHARED:
-        _LOCAL_SHARED[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _LOCAL_SHARED[app]
-
-
-def cut(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a table that cut() returned and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def with_default(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Only the named columns, so that extra ones can't clash with those an operator adds."""
-    return df.select(*columns)
-
-
 def fraction_of(hashed: Column) -> Column:
     """A 64-bit hash as a double in [0, 1)."""
     return F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(2**53))

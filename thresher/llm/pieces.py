@@ -86,20 +86,31 @@ def split_batch(texts: pa.StringArray) -> pa.ListArray:
 
 
 class PieceTable:
-    """Ids of pieces met so far. It starts anew when it holds too many."""
+    """Ids of pieces met so far. When it holds too many it keeps those that the batch at hand uses."""
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 300_000):
         self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.flat = np.zeros(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
 
+    def _shrink(self, used: list[str]) -> None:
+        kept = [p for p in used if p in self.number]
+        at = np.fromiter((self.number[p] for p in kept), dtype=np.int64, count=len(kept))
+        self.flat, ends = self._gather(at)
+        self.ends = np.concatenate([[0], ends])
+        self.number = {p: k for k, p in enumerate(kept)}
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbered pieces, and where each piece's ids end."""
+        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(first - (ends - n), n)], ends
+
     def _numbers(self, wanted: list[str]) -> np.ndarray:
-        if len(self.number) + len(wanted) > self.most and self.number:
-            self.clear()
+        if len(self.number) + len(wanted) > self.most:
+            self._shrink(wanted)
         number = self.number
         new = [p for p in wanted if p not in number]
         if new:
@@ -111,6 +122,13 @@ class PieceTable:
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         return np.fromiter(map(number.__getitem__, wanted), dtype=np.int64, count=len(wanted))
 
+    def learn(self, texts: pa.StringArray, rows_at_once: int = 1000) -> None:
+        """Encodes what is new in many texts at once: batches of new pieces cost less than the same pieces apart."""
+        found: dict[str, None] = {}
+        for k in range(0, len(texts), rows_at_once):
+            found.update(dict.fromkeys(split_batch(texts.slice(k, rows_at_once)).flatten().unique().to_pylist()))
+        self._numbers(list(found))
+
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """For texts without nulls: all ids in order, and where each text's ids end."""
         lists = split_batch(texts)
@@ -120,7 +138,5 @@ class PieceTable:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(sizes), dtype=np.int64)
         known = values.dictionary_encode()
         at = self._numbers(known.dictionary.to_pylist())[known.indices.to_numpy(zero_copy_only=False)]
-        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(n)
-        out = self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)]
+        out, ends = self._gather(at)
         return out, np.concatenate([[0], ends])[np.cumsum(sizes)]
