@@ -49,7 +49,7 @@ def _binned() -> dict[str, Column]:
     return {k: F.least(F.greatest(v, F.lit(0)), F.lit(BINS - 1)).cast("int") for k, v in raw.items()}
 
 
-FEATURES = tuple(_binned())
+FEATURES = ("words", "word_length", "symbols", "repeats", "dup_lines", "upper", "digits", "variety", "line_words")
 
 
 def _logit(p: Column) -> Column:
