@@ -17,4 +17,11 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others draw at random, hash or learn in ways that SQL lacks; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages),
+q AS (SELECT *, CAST(strlen(html) AS BIGINT) AS payload_bytes, strlen(html) >= 1000 AND page_id <> kept AS again FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN kept END AS refers_to FROM q""",
+}

@@ -70,15 +70,16 @@ def fit(texts: list[str | None], labels: np.ndarray, lasso: float = 2e-4, rounds
     if toxic in (0.0, float(n)):
         share = (toxic + 0.5) / (n + 10)
         return Weights(np.zeros(size, dtype=np.float32), float(np.log(share / (1 - share))))
-    found = []
-    for k in range(0, n, 500):
-        row, feature = grams(texts[k : k + 500])
-        found.append(np.unique((row + k).astype(np.int64) << BITS | feature))
-    keys = np.concatenate(found)
-    row, feature = (keys >> BITS).astype(np.int32), (keys & (size - 1)).astype(np.int32)
-    del keys, found
+    rows, features = [], []
+    for k in range(0, n, 250):
+        row, feature = grams(texts[k : k + 250])
+        keys = np.unique(row.astype(np.int64) << BITS | feature)
+        rows.append((keys >> BITS).astype(np.int32) + k)
+        features.append((keys & (size - 1)).astype(np.int32))
+    row, feature = np.concatenate(rows), np.concatenate(features)
+    del rows, features
     seen = np.bincount(feature, minlength=size)
-    with_toxic = np.bincount(feature, weights=labels[row], minlength=size)
+    with_toxic = np.bincount(feature[labels[row] > 0], minlength=size)
     others = seen - with_toxic
     ratio = np.log((with_toxic + 1) / (toxic + 2)) - np.log((others + 1) / (n - toxic + 2))
     # Features of too few texts, or as frequent among toxic texts as elsewhere (within three deviations), tell nothing.
@@ -134,6 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([weights, pa.array([found.intercept])], names=["weight", "intercept"])
 
     got = sample.repartition(1).mapInArrow(run, "weight binary, intercept double").first()
+    if got is None:
+        return fit([], np.zeros(0))
     return Weights(np.frombuffer(got["weight"], dtype=np.float32), got["intercept"])
 
 
