@@ -216,10 +216,18 @@ def streaks(events: DataFrame) -> DataFrame:
 
 
 def domain_state(events: DataFrame) -> DataFrame:
-    """The latest state of each domain; those whose last decision was ALLOW have none. events also has retry_after_ms."""
-    latest = streaks(events).join(events.select("domain", "event_id", "retry_after_ms"), ["domain", "event_id"])
-    last = latest.groupBy("domain").agg(
-        F.max_by(F.struct("decision", "consecutive_rate_limits", "consecutive_failures", F.col("reason").alias("last_reason"), "ts", "retry_after_ms"), F.struct("ts", "event_id")).alias("s")
-    ).select("domain", "s.*")
+    """The latest state of each domain; those without a retry since their last ALLOW have none. events also has retry_after_ms.
+
+    Denials and requests to the user leave counters and cooldown as they are.
+    """
+    known = streaks(events).join(events.select("domain", "event_id", "retry_after_ms"), ["domain", "event_id"])
+    order = F.struct("ts", "event_id")
+    retry = F.when(F.col("decision") == "RETRY_LATER", order)
+    last = known.groupBy("domain").agg(
+        F.max_by(F.struct("consecutive_rate_limits", "consecutive_failures", F.col("ts").alias("updated_at")), order).alias("s"),
+        F.max_by(F.struct(F.col("reason").alias("last_reason"), "ts", "retry_after_ms"), retry).alias("r"),
+    ).select("domain", "s.*", "r.*")
     until = F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")) + F.col("retry_after_ms"))
-    return last.where("decision <> 'ALLOW'").select("domain", "consecutive_rate_limits", "consecutive_failures", until.alias("cooldown_until"), "last_reason", F.col("ts").alias("updated_at"))
+    return last.where("consecutive_rate_limits + consecutive_failures > 0").select(
+        "domain", "consecutive_rate_limits", "consecutive_failures", until.alias("cooldown_until"), "last_reason", "updated_at"
+    )

@@ -495,7 +495,7 @@ def G9_failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_STREAKS} SELECT domain, consecutive_rate_limits, consecutive_failures FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) AS nth FROM s)
-WHERE nth = 1 AND event_type NOT IN ('view', 'purchase')"""
+WHERE nth = 1 AND consecutive_rate_limits + consecutive_failures > 0"""
 )
 def T5_domain_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.domain_state(_attempts(spark, sf_dir)).select("domain", "consecutive_rate_limits", "consecutive_failures")
@@ -558,3 +558,130 @@ def T12_route_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("TIMEOUT").alias("reason"), F.lit("wait").alias("message"),
     )
     return jobs.route_retries(waiting, F.timestamp_millis(F.lit(0))).select("job_id", "kind", "error")
+
+
+# --- more of the same kinds --------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id AS job_id, 'http://h' || (event_id % 40) || '.example/' AS requested_url, CASE WHEN event_id % 40 < 30 THEN 200 ELSE 0 END AS status_code,
+  CASE WHEN event_id % 40 < 30 THEN 8 END AS kept, event_id % 40 < 30 AS body_truncated, CASE WHEN event_id % 40 >= 30 THEN 'DNS_ERROR' END AS failure FROM events"""
+)
+def S7_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.recorded import fetch
+
+    url = lambda n: F.concat(F.lit("http://h"), n.cast("string"), F.lit(".example/"))
+    asked = _read(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), url(F.col("event_id") % 40).alias("url"))
+    none = F.lit(None).cast("string")
+    recorded = spark.range(30).select(
+        url(F.col("id")).alias("url"), F.lit(200).alias("status_code"), F.create_map(F.lit("A"), F.array(F.lit("b"))).alias("headers"), F.lit("0123456789").cast("binary").alias("body"),
+        none.alias("final_url"), F.array().cast("array<string>").alias("redirects"), none.alias("error_code"), none.alias("error_message"),
+    )
+    return fetch(asked, recorded, max_body=8).select(
+        "job_id", "requested_url", "status_code", F.octet_length("raw_body").alias("kept"), "body_truncated", F.col("transport_error.type").alias("failure")
+    )
+
+
+@query("SELECT event_id, lower('X-' || event_type) AS name, event_type || ',' || CAST(user_id AS VARCHAR) AS shown FROM events")
+def S9_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.create_map(F.concat(F.lit("X-"), "event_type"), F.array("event_type"), F.concat(F.lit("x-"), "event_type"), F.array(F.col("user_id").cast("string")))
+    rows = _read(spark, sf_dir, "events").select("event_id", F.explode(http.lower_headers(raw)).alias("name", "v"))
+    return rows.select("event_id", "name", F.array_join("v", ",").alias("shown"))
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN event_id % 6 = 4 THEN 'MISSING_CONTENT_TYPE' WHEN event_id % 6 = 3 THEN 'STREAMING' WHEN event_id % 6 = 2 THEN 'NON_TEXT'
+  WHEN user_id > 100 THEN 'RESPONSE_TOO_LARGE' WHEN user_id > 50 THEN 'BUDGET_EXHAUSTED' END AS reason FROM events"""
+)
+def S15_body_omission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = http.omission_reason(_pick("event_id", _KINDS), F.lit(None).cast("bigint"), F.col("user_id"), F.lit(50), F.lit(False), 100)
+    return _read(spark, sf_dir, "events").select("event_id", reason.alias("reason"))
+
+
+@query("SELECT event_id, event_id % 6 IN (0) AND user_id > 0 AS html FROM events")
+def S19_content_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", http.html_gate(_pick("event_id", _KINDS), F.col("user_id")).alias("html"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '^[A-Za-z_$][A-Za-z0-9_$]*$') THEN '$.' || p_brand ELSE '$[\"' || p_brand || '\"]' END AS path FROM part")
+def X3_json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select("p_partkey", text.json_path(F.lit("$"), F.col("p_brand")).alias("path"))
+
+
+@query(
+    """SELECT p_partkey AS page_id, u.* FROM part, LATERAL (VALUES ('og:title', 'meta[property="og:title"]:eq(0)', p_name, 'OPEN_GRAPH'), ('og:title', 'meta[property="og:title"]:eq(1)', p_type, 'OPEN_GRAPH'),
+  ('twitter:card', 'meta[name="twitter:card"]:eq(0)', p_brand, 'TWITTER_CARD'), ('size', 'meta[name="size"]:eq(0)', CAST(p_size AS VARCHAR), 'HTML_META')) AS u(key, path, text, vocabulary)"""
+)
+def X6_meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = lambda by, name, x: F.concat(F.lit(f'<meta {by}="{name}" content=" '), x.cast("string"), F.lit('">'))
+    html = F.concat(
+        tag("property", "og:title", F.col("p_name")), tag("name", " Twitter:Card ", F.col("p_brand")), tag("property", "OG:title", F.col("p_type")), tag("name", "size", F.col("p_size")), F.lit('<meta name="none" content="  ">')
+    )
+    pages = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return discovery.meta(elements(pages)).select("page_id", "key", "path", F.col("value.s").alias("text"), "vocabulary")
+
+
+_GUARD = [")]}'", ")]}',\n", "while(1);", "for (;;);", "﻿", "", "while (true) ;)]}'"]
+
+
+@query("SELECT event_id, props AS body, true AS json FROM events")
+def N2_guard_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = network.strip_guards(F.concat(_pick("event_id", _GUARD), F.col("props")))
+    return _read(spark, sf_dir, "events").select("event_id", body.alias("body"), network.looks_like_json(body).alias("json"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS whole, CAST(o_custkey AS VARCHAR) || '.5' AS half FROM orders")
+def E1_number_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda n: values.to_string(values.value("number", n=n))["value"]["s"]
+    key = F.col("o_custkey").cast("double")
+    return _read(spark, sf_dir, "orders").select("o_orderkey", shown(key).alias("whole"), shown(key + 0.5).alias("half"))
+
+
+@query("SELECT event_id, round(greatest(0, value + value * 0.15 * (2 * (event_id % 11) / 10.0 - 1)), 6) AS shaken FROM events WHERE value IS NOT NULL")
+def E13_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shaken = http.jitter(F.col("value"), 0.15, (F.col("event_id") % 11) / 10)
+    return _read(spark, sf_dir, "events").where("value is not null").select("event_id", F.round(shaken, 6).alias("shaken"))
+
+
+@query("SELECT event_id, greatest(0, CASE WHEN event_id % 3 = 0 THEN 3 ELSE event_id % 3 END - event_id % 7) AS n_left FROM events")
+def E17_attempts_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 3)
+    return _read(spark, sf_dir, "events").select("event_id", http.attempts_left(limit, F.col("event_id") % 7).alias("n_left"))
+
+
+@query(
+    f"""SELECT doc_id, {_sql_pick('doc_id', ['CAPTCHA', 'LOGIN_REQUIRED', None, 'AUTH_REQUIRED', 'SECURITY_CHALLENGE', 'AUTH_REQUIRED'])} AS reason FROM documents"""
+)
+def F4_redirect_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = access.redirect_class(F.concat(F.lit("https://a.example"), _pick("doc_id", _PATHS)))
+    return _read(spark, sf_dir, "documents").select("doc_id", found["reason"].alias("reason"))
+
+
+@query(
+    f"""{_STREAKS}, n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) AS nth FROM s),
+r AS (SELECT domain, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type FROM s WHERE event_type IN ('error', 'signup') GROUP BY 1),
+l AS (SELECT n.domain, r.event_type FROM n JOIN r ON r.domain = n.domain WHERE nth = 1 AND consecutive_rate_limits + consecutive_failures > 0)
+SELECT o_orderkey AS job_id, CASE WHEN w THEN 'RETRY_LATER' ELSE 'ALLOW' END AS decision, CASE WHEN w THEN CASE event_type WHEN 'error' THEN 'RATE_LIMITED' ELSE 'TIMEOUT' END END AS reason,
+  CASE WHEN w THEN 5000 END AS retry_after_ms
+FROM (SELECT o_orderkey, event_type, coalesce(event_type IS NOT NULL AND o_custkey % 2 = 0, false) AS w FROM orders LEFT JOIN l ON l.domain = o_custkey)"""
+)
+def T1_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of even customers meet a cooldown that has its whole time before it; those of odd ones come as it ends."""
+    state = access.domain_state(_attempts(spark, sf_dir))
+    made = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("domain"))
+    even = access.preflight(made.where("domain % 2 = 0"), state.withColumn("cooldown_until", F.timestamp_millis(F.lit(5000))), F.timestamp_millis(F.lit(0)))
+    odd = access.preflight(made.where("domain % 2 = 1"), state.withColumn("cooldown_until", F.timestamp_millis(F.lit(5000))), F.timestamp_millis(F.lit(5000)))
+    return even.unionByName(odd).select("job_id", "decision", "reason", "retry_after_ms")
+
+
+@query("SELECT o_orderkey AS job_id, 'job:' || o_orderkey || ':deferred-retry:' || o_custkey AS queue_key, 'QUEUED' AS status FROM orders WHERE o_custkey % 6 < 4")
+def T9_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 6).alias("attempt"), F.lit(None).cast("int").alias("max_retries"), "o_custkey")
+    return jobs.requeue(states, "deferred-retry", F.col("o_custkey").cast("string")).select("job_id", "queue_key", "status")
+
+
+@query("SELECT c_custkey AS job_id, u.* FROM customer, LATERAL (VALUES ('name', 'EXACT_ALIAS,NORMALIZED'), ('acctBal', 'EXACT_ALIAS'), ('segment', 'PATH')) AS u(field, rules)")
+def G1_group_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, fields, props = _customer_jobs(spark, sf_dir)
+    grouped = matching.group_candidates(matching.match(fields, props))
+    return grouped.select("job_id", "field", F.array_join(F.transform("candidates", lambda c: c["rule"]), ",").alias("rules"))
