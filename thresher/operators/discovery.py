@@ -242,11 +242,11 @@ def with_evidence(elements: DataFrame) -> DataFrame:
     )
 
 
-def _found(rows: DataFrame, key: str, name: Column, x: Column, rank: str, rule: int) -> DataFrame:
+def _found(rows: DataFrame, key: str, name: Column, x: Column, rank: str, rule: int, nth: Column | None = None) -> DataFrame:
     rank_of = name["rank"] if rank == "best" else F.lit(RANKS[rank])
     name = name["key"] if rank == "best" else name
     return rows.select(
-        key, "ord", F.lit(rule).alias("rule"), F.lit(0).alias("nth"), name.alias("name"), t.collapse(x).alias("text"), rank_of.alias("rank"),
+        key, "ord", F.lit(rule).alias("rule"), (F.lit(0) if nth is None else nth).alias("nth"), name.alias("name"), t.collapse(x).alias("text"), rank_of.alias("rank"),
         "chain", "class_counts", F.col("from_ord") if "from_ord" in rows.columns else F.col("ord").alias("from_ord"),
     )
 
@@ -266,8 +266,7 @@ def dom(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame
     candidates.append(_found(e.where(field.isNull() & given.isNotNull() & best.isNotNull()), key, best["key"], given, "data_value", 1))
     every = e.select("*", F.posexplode(F.map_entries("attrs")).alias("at", "pair")).where(F.lower("pair.key").startswith("data-"))
     every = every.withColumn("data_key", F.substring("pair.key", 6, 1_000_000)).where(~t.is_control_key(F.col("data_key")))
-    candidates.append(_found(every, key, F.col("data_key"), F.col("pair.value"), "data_attribute", 2).drop("nth").join(
-        every.select(key, "ord", F.col("data_key").alias("name"), F.col("at").alias("nth")), [key, "ord", "name"]))
+    candidates.append(_found(every, key, F.col("data_key"), F.col("pair.value"), "data_attribute", 2, F.col("at")))
 
     # dt and its dd: between them stand only dd. The elements that the scan leaves out still separate.
     sorted_siblings = elements.select(key, "parent", "ord", "tag", "text")
@@ -311,7 +310,8 @@ def dom(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame
     candidates.append(_found(unnamed.where(tag.isin("h1", "h2", "h3") & ~F.col("container")), key, tag, F.col("text"), "heading", 9))
 
     found = reduce(DataFrame.unionByName, candidates)
-    found = found.where((F.col("text") != "") & t.is_semantic(F.col("name"))).withColumn("name", t.normalize_key(F.col("name")))
+    found = stage(found.where((F.col("text") != "") & F.col("name").isNotNull()), "dom-candidates")
+    found = found.where(t.is_semantic(F.col("name"))).withColumn("name", t.normalize_key(F.col("name")))
     long = _warnings(found.where(F.length("text") > MAX_VALUE).select(key).distinct(), key, "dom", F.lit("DOM_VALUE_LIMIT_SKIPPED"))
     placed = found.where(F.length("text") <= MAX_VALUE).withColumn("path", css_path(F.col("chain"), F.col("class_counts"))).drop("chain", "class_counts")
     # Equal path and value: the strongest evidence, in the place of the first.
