@@ -105,7 +105,9 @@ def test_secret_spans(docs_of, prose):
 def test_ownership_separates_examples(spark, docs_of):
     copied, own, odd = "token=EXAMPLEEXAMPLE1", "token=ownownown777", "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1"
     rows = [(k, f"see {copied}") for k in range(5)] + [(5, f"my {own} here {own}"), (6, f"x {odd} y")]
-    kept = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(rows)).collect()}
+    found = secrets.redact(docs_of(rows))
+    assert found.columns == docs_of(rows).columns and {r["uid"] for r in found.collect()} == {"u"}
+    kept = {r["doc_id"]: r["text"] for r in found.collect()}
     assert kept[0] == f"see {copied}" and kept[5] == "my [REDACTED] here [REDACTED]" and kept[6] == "x [REDACTED] y"
 
 

@@ -133,10 +133,19 @@ def _spans_by_row(found: DataFrame) -> DataFrame:
     return found.groupBy("uid").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(one)).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def redact(
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    owner_cols: Sequence[str] = ("source",),
+    repo_cols: Sequence[str] = ("source", "lang"),
+    max_owners: int = 2,
+) -> DataFrame:
     """docs with each live finding replaced by MARK; copied examples stay."""
-    numbered = cut(docs.withColumn("uid", F.monotonically_increasing_id()), "secret-docs")
-    live = _spans_by_row(scan(numbered, text_col, **options).where("live")).select(F.col("uid").alias("found_uid"), "spans")
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row")), "secret-docs")
+    field = lambda cols: [f"row.{c}" for c in cols]
+    found = scan(numbered, f"row.{text_col}", f"row.{id_col}", field(owner_cols), field(repo_cols), max_owners)
+    live = _spans_by_row(found.where("live")).select(F.col("uid").alias("found_uid"), "spans")
     merged = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)"),
@@ -148,18 +157,18 @@ def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
             ),
         ).otherwise(F.concat(a, F.array(F.struct(s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop"))))),
     )
-    whole = numbered.join(live, numbered["uid"] == live["found_uid"], "left").withColumn("spans", merged)
+    whole = numbered.join(live, numbered["uid"] == live["found_uid"], "left").select("row", F.col(f"row.{text_col}").alias("text"), merged.alias("spans"))
     before = F.transform(
         "spans",
         lambda s, i: F.substring(
-            F.col(text_col),
+            F.col("text"),
             (F.coalesce(F.get("spans", i - 1)["stop"], F.lit(0)) + 1).cast("int"),
             (s["start"] - F.coalesce(F.get("spans", i - 1)["stop"], F.lit(0))).cast("int"),
         ),
     )
-    tail = F.substring(F.col(text_col), (F.element_at("spans", -1)["stop"] + 1).cast("int"), F.length(text_col))
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(before, MARK), F.lit(MARK), tail))
-    return whole.withColumn(text_col, text).select(*docs.columns)
+    tail = F.substring(F.col("text"), (F.element_at("spans", -1)["stop"] + 1).cast("int"), F.length("text"))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(before, MARK), F.lit(MARK), tail))
+    return whole.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
