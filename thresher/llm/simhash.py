@@ -147,6 +147,25 @@ def _replicas(cover: Cover):
     return run
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few links (row, column) that connect what the true cells of the matrix connect.
+
+    In each round every row and every column takes one link to another component, so rounds
+    grow with the logarithm of the number of rows.
+    """
+    n, m = near.shape
+    a = b = np.zeros(0, dtype=np.int64)
+    label = np.arange(n + m)
+    while True:
+        apart = near & (label[:n, None] != label[None, n:])
+        rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+        if not len(rows):
+            return a, b - n
+        a = np.concatenate([a, rows, apart[:, columns].argmax(axis=0)])
+        b = np.concatenate([b, n + apart[rows].argmax(axis=1), n + columns])
+        label = star_edges(n + m, a, b)
+
+
 def _compare(words: list[str], distance: int, rows_at_once: int = 256):
     def run(group: dict[str, np.ndarray]) -> pa.RecordBatch | None:
         nodes, at = np.unique(group["node"], return_index=True)
@@ -157,7 +176,8 @@ def _compare(words: list[str], distance: int, rows_at_once: int = 256):
         for k in range(0, len(left), rows_at_once):
             some = left[k : k + rows_at_once]
             differ = sum(np.bitwise_count(x[some][:, None] ^ x[right][None, :]).astype(np.int16) for x in bits)
-            i, j = np.nonzero(differ <= distance)
+            near = differ <= distance
+            i, j = _forest(near) if np.count_nonzero(near) > 4 * sum(near.shape) else np.nonzero(near)
             a, b = np.concatenate([a, some[i]]), np.concatenate([b, right[j]])
             if len(a) > 4 * len(nodes):  # many more links than a spanning star needs
                 a, b = np.arange(len(nodes)), star_edges(len(nodes), a, b)
