@@ -16,12 +16,12 @@ from thresher.llm.common import cut, table
 from thresher.llm.packing import pack
 from thresher.llm.quality_rules import judge
 from thresher.llm.secrets import redact
-from thresher.llm.simhash import WIDE, near_duplicates
+from thresher.llm.simhash import alike
 from thresher.llm.toxicity import score, train
 
 TOXIC = 0.3
-#: Of 128 bits: texts whose sets of five-word shingles have a similarity of 0.8 differ in 19 or 20, give or take 4.
-SIMILAR_BITS = 26
+#: Jaccard similarity of the sets of five-word shingles from which on texts are near-duplicates.
+SIMILAR = 0.8
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -40,8 +40,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = cut(docs.withColumn("_uid", F.monotonically_increasing_id()), "dedup-docs")
-    found = near_duplicates(numbered, id_col="_uid", size=5, distance=SIMILAR_BITS, cover=WIDE)
-    kept = found.where(F.col("_uid") == F.col("component_id")).select("_uid")
+    found = alike(numbered, id_col="_uid", size=5, least=SIMILAR)
+    kept = found.where(F.col("node") == F.col("root")).select(F.col("node").alias("_uid"))
     return numbered.join(kept, "_uid", "left_semi").select(*docs.columns)
 
 

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from thresher.llm import packing
+from thresher.llm import packing, simhash
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,36 @@ def test_run_is_the_stages(spark, tables):
     assert "pipeline" in __spark_entry__.queries() and sum(n.startswith("op") for n in __spark_entry__.queries()) == 10
     found = corpus_pipeline.run(spark, tables)
     assert found.agg(F.countDistinct("doc_id")).first()[0] >= 300
+
+
+def _set(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+def test_near_dedup_decides_by_sets(spark, docs_of, prose):
+    """Pairs on either side of a similarity of 0.8, a chain across chunks, and texts that differ in repeats only."""
+    rows = []
+    for k in range(120):
+        words = prose(9000 + k, 103 + k).split()
+        rows.append((k, " ".join(words)))
+        # Words changed at the end: 0.65 to 0.79 of the even ones, 0.8 to 0.9 of the odd ones.
+        n = len(words) - 4
+        share = 0.65 + 0.14 * k / 120 if k % 2 == 0 else 0.8 + 0.1 * k / 120
+        changed = int(n * (1 - share) / (1 + share)) if k % 2 else -int(-n * (1 - share) // (1 + share))
+        rows.append((1000 + k, " ".join(words[: len(words) - changed] + [f"x{k}y{j}" for j in range(changed)])))
+    rows += [(2000, rows[1][1] + (" again and again once more" * 30)), (2001, rows[1][1] + " again and again once more" * 3)]
+    docs = docs_of(rows).repartition(1).sortWithinPartitions("doc_id")
+    sets = {i: _set(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    want = {i for i, r in root.items() if i == r}
+    found = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert {2 * k + 1000 for k in range(60)} <= want and not {2 * k + 1001 for k in range(60)} & want
+    assert len(want - found) == 0 and len(found - want) <= 8
+    few = simhash.alike(docs, "doc_id", chunk=40).where("node = root").select("node").collect()
+    assert {r["node"] for r in few} == found

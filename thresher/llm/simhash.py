@@ -12,6 +12,10 @@ takes 128-bit fingerprints, eight parts of 15 bits and the Hamming code of lengt
 radius 1, for similarities about 0.8, where fingerprints differ in 15 % of their bits: of
 eight parts one differs in at most 1 bit for 95 % of such pairs, for 98 % at 0.85.
 
+Fingerprints only estimate a similarity, so alike() takes their links as candidates: within
+each component of links the sets of shingles themselves are compared, and pairs that are
+similar enough are the links of the result. A large component is a grid of bounded cells.
+
 Equal fingerprints are one point, so copies are never compared. A crowded anchor is a grid
 of bounded cells. Cells return spanning stars of what they link, not all pairs.
 
@@ -54,19 +58,30 @@ EXACT = Cover(1, ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 0b110001110101, 23, 3,
 WIDE = Cover(2, tuple((w, b, 15) for w in (0, 1) for b in (0, 15, 30, 45)), 0b10011, 15, 1, 1)
 
 
-def fingerprint(text: str | None, size: int = 4, seed: int = 42, words: int = 1) -> list[int]:
-    """Majority of the bits of the XXH64 of all word shingles; signed. Further words take the bits of the mixed hashes."""
+def shingles(text: str | None, size: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles, with repeats; a shorter text is one shingle."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return [0] * words
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(found) - size + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), dtype=np.uint64, count=n)
-    out = []
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), dtype=np.uint64, count=n)
+
+
+def fingerprint(text: str | None, size: int = 4, seed: int = 42, words: int = 1) -> list[int]:
+    """Majority of the bits of the hashes of all word shingles; signed."""
+    return majority(shingles(text, size, seed), words)
+
+
+def majority(hashes: np.ndarray, words: int) -> list[int]:
+    """Majority of the bits of the hashes; further words take the bits of the mixed hashes."""
+    n, out = len(hashes), []
+    if not n:
+        return [0] * words
     for _ in range(words):
         set_bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big", signed=True))
@@ -219,6 +234,102 @@ def near_duplicates(
     return prints.join(labels, words).select(id_col, *words, "component_id")
 
 
+def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
+    """The id as node, the fingerprint's words w0, ..., and hi and lo, which name the set of shingles."""
+    names = ["hi", "lo", *(f"w{k}" for k in range(words))]
+
+    def one(text: str | None) -> list[int]:
+        hashes = shingles(text, size)
+        name = xxhash.xxh3_128_digest(np.unique(hashes).tobytes())
+        return [*(int.from_bytes(name[k : k + 8], "big", signed=True) for k in (0, 8)), *majority(hashes, words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [one(t.as_py()) for t in batch.column(1)]
+            columns = [pa.array([v[k] for v in values], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", *names])
+
+    return docs.select(F.col(id_col).alias("node"), text_col).mapInArrow(run, "node bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def _with_sets(size: int):
+    """The text, last of the columns, as its sorted set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingles(t.as_py(), size)).view(np.int64) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "hashes"])
+
+    return run
+
+
+def _verify(least: float, elements_at_once: int = 4_000_000):
+    """Links that connect the nodes of a cell whose sets' Jaccard similarity is least or more; of a cell of two chunks only pairs across."""
+
+    def run(group: dict) -> pa.RecordBatch | None:
+        values, lengths = group["hashes"]
+        chunk, starts, n = group["own"], np.cumsum(lengths) - lengths, len(lengths)
+        across = (chunk != chunk[0]).any()
+        known, ids = np.unique(values, return_inverse=True)
+        marked, label = np.zeros(len(known), dtype=bool), np.arange(n)
+        for i in range(n - 1):
+            other = np.arange(i + 1, n)
+            fits = (label[other] != label[i]) & (np.minimum(lengths[other], lengths[i]) >= least * np.maximum(lengths[other], lengths[i]))
+            other = other[fits & ((chunk[other] != chunk[i]) | ~across)]
+            other = other[lengths[other] > 0]
+            if not len(other):
+                continue
+            marked[ids[starts[i] : starts[i] + lengths[i]]] = True
+            ends = np.cumsum(lengths[other])
+            cuts = np.searchsorted(ends, np.arange(0, ends[-1], elements_at_once), side="left").tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(other)], strict=True):
+                some = other[a:b]
+                if not len(some):
+                    continue
+                m = lengths[some]
+                first = np.cumsum(m) - m
+                at = np.repeat(starts[some] - first, m) + np.arange(m.sum())
+                both = np.add.reduceat(marked[ids[at]], first, dtype=np.int64)
+                near = some[both / (m + lengths[i] - both) >= least]
+                label[np.isin(label, label[near])] = label[i]
+            marked[ids[starts[i] : starts[i] + lengths[i]]] = False
+        # Labels are places in the cell, so every tied node has one link to the node that its label names.
+        tied = np.flatnonzero(label != np.arange(n))
+        if not len(tied):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(group["node"][tied]), pa.array(group["node"][label[tied]])], names=["a", "b"])
+
+    return run
+
+
+def alike(
+    docs: DataFrame, id_col: str, text_col: str = "text", size: int = 5, least: float = 0.8, distance: int = 26, cover: Cover = WIDE, chunk: int = 512
+) -> DataFrame:
+    """node, the least id of each different set of shingles, and root, the least node that pairs of the similarity `least` or more lead to.
+
+    The ids are longs, neither null nor repeated. The cover and the distance choose the
+    candidates; what is linked is decided by the sets.
+    """
+    words = [f"w{k}" for k in range(cover.words)]
+    sets = cut(_sketches(docs, id_col, text_col, size, cover.words).groupBy("hi", "lo", *words).agg(F.min("node").alias("node")).drop("hi", "lo"), "sets")
+    points = cut(sets.groupBy(*words).agg(F.min("node").alias("node"), F.count("*").alias("n")), "points")
+    roots = components(link(points, distance, cover)).withColumnRenamed("node", "tied")
+    rooted = points.join(roots, points["node"] == roots["tied"], "left").select(*words, "n", F.coalesce("root", "node").alias("root"))
+    rooted = cut(rooted, "rooted")
+    sizes = cut(rooted.groupBy("root").agg(F.ceil(F.sum("n") / chunk).alias("chunks"), F.sum("n").alias("n")).where("n > 1").drop("n"), "sizes")
+    labels = cut(rooted.drop("n").join(sizes, "root"), "labels")
+    members = cut(sets.join(labels, words).select("node", "root", "chunks"), "members")
+    texts = members.join(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), "node")
+    own = texts.select("node", "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("own"), "text")
+    compared = own.mapInArrow(_with_sets(size), "node bigint, root bigint, chunks bigint, own bigint, hashes array<bigint>")
+    grid = compared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    cells = grid.withColumn("cell", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = each_group(cells, "cell", ["node", "own", "hashes"], _verify(least), "a bigint, b bigint", parts)
+    firsts = components(links).select(F.col("node").alias("tied"), F.col("root"))
+    return sets.select("node").join(firsts, F.col("node") == F.col("tied"), "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
