@@ -91,3 +91,18 @@ def test_near_dedup_decides_by_sets(spark, docs_of, prose):
     assert len(want - found) == 0 and len(found - want) <= 8
     few = simhash.alike(docs, "doc_id", chunk=40).where("node = root").select("node").collect()
     assert {r["node"] for r in few} == found
+
+
+def test_near_dedup_finds_pairs_at_the_bound(spark, docs_of, prose):
+    """300 lone pairs of a similarity of just 0.8, half of them with one phrase said over and over on one side."""
+    rows = []
+    for k in range(300):
+        words = prose(20_000 + k, 94).split()
+        phrase = [f"r{j}" for j in range(6)]
+        head, tail = words, [f"t{k}a{j}" for j in range(10)]
+        rows.append((k, " ".join(head + phrase + tail)))
+        rows.append((1000 + k, " ".join(head + phrase * (1 + 30 * (k % 2)) + [f"t{k}b{j}" for j in range(10)])))
+    sets = {i: _set(t) for i, t in rows}
+    assert all(0.8 <= len(sets[k] & sets[1000 + k]) / len(sets[k] | sets[1000 + k]) < 0.83 for k in range(300))
+    found = simhash.alike(docs_of(rows), "doc_id").collect()
+    assert len(found) == 600 and sum(r["node"] != r["root"] for r in found) == 300
