@@ -174,3 +174,20 @@ def test_quality_classifier(spark, docs_of, prose):
 
 def test_binary_lists_split():
     assert pa.array([[1], [2, 3]]).flatten().to_pylist() == [1, 2, 3]
+
+
+def test_repeated_rows_take_no_neighbours_place(spark):
+    rng = np.random.default_rng(8)
+    x = (10 + 0.1 * rng.standard_normal((60, 8))).astype(np.float32)
+    x[1] = x[0] * np.float32(1.5)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1, x[1].tolist())] * 40 + [(2, x[3].tolist())] * 30
+    rows += [(4, (x[0] * np.float32(1.2 + 0.01 * k)).tolist()) for k in range(30)]
+    best = {}
+    for i, v in rows:
+        score = float((np.array(v, dtype=np.float32).astype(np.float64) * x[0].astype(np.float64)).sum())
+        best[i] = max(score, best.get(i, -np.inf))
+    del best[0]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = approximate_neighbours.search(table, F.col("id") == 0, k=20).collect()
+    assert len(found) == 20 and len({r["vec_id"] for r in found}) == 20
+    assert all(abs(r["score"] - best[r["vec_id"]]) < 1e-9 for r in found) and {1, 4} <= {r["vec_id"] for r in found}

@@ -11,7 +11,7 @@ ranked by their exact product.
 
 Buckets fall into groups, the groups into grids of bounded cells; a cell multiplies its
 queries and vectors as matrices and returns each query's best, so pairs are never rows.
-Equal vectors are one vector with its k + 1 least ids: no result can need more of them.
+Equal vectors are one vector with its k + 1 least different ids: no result can need more.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without an id; rows with a query's own id
@@ -188,7 +188,10 @@ def _query_rows(index: Index, size: int):
     return run
 
 
-def _cell(index: Index, size: int, k: int, queries_at_once: int = 256):
+def _cell(index: Index, size: int, k: int, per_id: int = 1, queries_at_once: int = 256):
+    """Each query's k best ids of a cell; an id has at most per_id vectors, so that many times k + 1 vectors hold them."""
+    queries_at_once = max(1, queries_at_once // per_id)
+
     def run(group: dict) -> pa.RecordBatch | None:
         side = group["side"]
         x = group["vector"][0].astype(np.float64).reshape(-1, size)
@@ -206,7 +209,7 @@ def _cell(index: Index, size: int, k: int, queries_at_once: int = 256):
             some = asked[a : a + queries_at_once]
             seen = index.chance(index.logs(x[some])[t], code) >= group["least"][some][:, None]
             scores = np.where(seen[:, column_of], x[some] @ x[base].T, -np.inf)
-            row, column = _best(scores, k + 1)
+            row, column = _best(scores, (k + 1) * per_id)
             exact = _exact(x[some[row]], x[base[column]])
             # Each vector stands for its ids.
             n = n_ids[base[column]]
@@ -217,6 +220,11 @@ def _cell(index: Index, size: int, k: int, queries_at_once: int = 256):
             row, vec, score = row[pair][other], vec[other], exact[pair][other]
             best = np.lexsort((vec, -score, row))
             row, vec, score = row[best], vec[best], score[best]
+            # An id with several vectors counts once, with its best.
+            by_id = np.lexsort((-score, vec, row))
+            again = np.zeros(len(row), dtype=bool)
+            again[by_id[1:]] = (row[by_id[1:]] == row[by_id[:-1]]) & (vec[by_id[1:]] == vec[by_id[:-1]])
+            row, vec, score = row[~again], vec[~again], score[~again]
             first = np.searchsorted(row, row)
             kept = np.arange(len(row)) - first < k
             out.append((ids[starts[some[row[kept]]]], vec[kept], score[kept]))
@@ -232,7 +240,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     is_query is a condition on the column id.
     """
     usable, size = _usable(vectors, id_col, vector_col)
-    usable = cut(usable, "vectors")
+    usable = cut(usable.distinct(), "vectors")
     if not size:
         return usable.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     # Few rows of a vector that very many share leave their task: the limit works before the exchange.
@@ -240,6 +248,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     distinct = cut(
         usable.withColumn("nth", least).where(F.col("nth") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct-vectors"
     )
+    per_id = usable.groupBy("id").count().agg(F.max("count")).first()[0] or 1
     index = fit(distinct, usable.where(is_query), size, k)
     kind = vectors.schema[vector_col].dataType.simpleString()
     schema = f"key bigint, side int, code bigint, least double, ids array<bigint>, vector {kind}"
@@ -247,7 +256,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     asked = usable.where(is_query).select(F.array("id").alias("ids"), "vector").mapInArrow(_query_rows(index, size), schema)
     cells = spread(base.unionByName(asked), "key", "side", "ids", chunk)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = each_group(cells, "cell", ["key", "side", "code", "least", "ids", "vector"], _cell(index, size, k), "query_id bigint, vec_id bigint, score double", parts)
+    found = each_group(cells, "cell", ["key", "side", "code", "least", "ids", "vector"], _cell(index, size, k, per_id), "query_id bigint, vec_id bigint, score double", parts)
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
