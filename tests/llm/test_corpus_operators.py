@@ -191,3 +191,14 @@ def test_repeated_rows_take_no_neighbours_place(spark):
     found = approximate_neighbours.search(table, F.col("id") == 0, k=20).collect()
     assert len(found) == 20 and len({r["vec_id"] for r in found}) == 20
     assert all(abs(r["score"] - best[r["vec_id"]]) < 1e-9 for r in found) and {1, 4} <= {r["vec_id"] for r in found}
+
+
+def test_sparse_queries_get_all_their_rows(spark):
+    """Tight clusters satisfy the sampled queries with few buckets; others lie far from all of them."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((6, 16))
+    x = centres[rng.integers(0, 6, 3000)] + 0.01 * rng.standard_normal((3000, 16))
+    x[::300] = rng.standard_normal((10, 16))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    found = approximate_neighbours.search(table, F.col("id") % 20 == 0, k=20).groupBy("query_id").count().collect()
+    assert len(found) == 150 and {r["count"] for r in found} == {20}

@@ -6,7 +6,8 @@ intervals; the tuple of intervals is a bucket. For a query the probability that
 neighbour falls into a bucket follows from the distances of its projections to the
 interval bounds, and buckets are visited in that order. How many are visited is fitted: a
 bounded sample of queries is compared with all vectors, and enough buckets are taken that
-the wanted share of their true neighbours is met. Candidates of all tables are merged and
+the wanted share of their true neighbours is met. A query whose buckets hold too few
+vectors visits more in the same order, until they hold k + 1 ids or none is left. Candidates of all tables are merged and
 ranked by their exact product.
 
 Buckets fall into groups, the groups into grids of bounded cells; a cell multiplies its
@@ -168,7 +169,15 @@ def _base_rows(index: Index, size: int):
     return run
 
 
-def _query_rows(index: Index, size: int):
+def _held(base: DataFrame) -> np.ndarray:
+    """table, code: how many ids the bucket's vectors have"""
+    held = np.zeros((TABLES, len(CODES)), dtype=np.int64)
+    for r in base.groupBy((F.col("key") / GROUPS).cast("int").alias("t"), "code").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["t"], r["code"]] = r["n"]
+    return held
+
+
+def _query_rows(index: Index, size: int, held: np.ndarray, need: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
@@ -178,6 +187,13 @@ def _query_rows(index: Index, size: int):
                     chance = index.chance(logs[t], np.arange(len(CODES)))
                     least = np.partition(chance, -index.visited, axis=1)[:, -index.visited] if index.visited < len(CODES) else chance.min(axis=1)
                     seen = chance >= least[:, None]
+                    short = np.flatnonzero(seen @ held[t] < need)
+                    if len(short):
+                        order = np.argsort(-chance[short], axis=1, kind="stable")
+                        enough = np.cumsum(held[t][order], axis=1) >= need
+                        last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(CODES) - 1)
+                        least[short] = chance[short, order[np.arange(len(short)), last]]
+                        seen = chance >= least[:, None]
                     row, group = np.nonzero(np.stack([seen[:, g::GROUPS].any(axis=1) for g in range(GROUPS)], axis=1))
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
@@ -253,7 +269,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     kind = vectors.schema[vector_col].dataType.simpleString()
     schema = f"key bigint, side int, code bigint, least double, ids array<bigint>, vector {kind}"
     base = distinct.select("ids", "vector").mapInArrow(_base_rows(index, size), schema)
-    asked = usable.where(is_query).select(F.array("id").alias("ids"), "vector").mapInArrow(_query_rows(index, size), schema)
+    asked = usable.where(is_query).select(F.array("id").alias("ids"), "vector").mapInArrow(_query_rows(index, size, _held(base), (k + 1) * per_id), schema)
     cells = spread(base.unionByName(asked), "key", "side", "ids", chunk)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = each_group(cells, "cell", ["key", "side", "code", "least", "ids", "vector"], _cell(index, size, k, per_id), "query_id bigint, vec_id bigint, score double", parts)
