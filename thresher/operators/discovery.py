@@ -99,11 +99,10 @@ def _tokens(x: Column) -> Column:
     return F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
 
 
-def microdata(elements: DataFrame, key: str = "page_id", max_depth: int = 12) -> tuple[DataFrame, DataFrame]:
+def microdata(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """Item types and properties of every itemscope, and warnings for empty itemprops.
 
-    Scope paths nest; they are resolved one level a join, for max_depth levels. Scopes that
-    lie deeper start anew from their number on the page.
+    Scope paths nest to any depth; each scope climbs at most as many levels as its page has scopes.
     """
     attrs = F.col("attrs")
     names = _tokens(attrs["itemprop"])
@@ -129,13 +128,13 @@ def microdata(elements: DataFrame, key: str = "page_id", max_depth: int = 12) ->
 
     def climb(state: Column, level: Column) -> Column:
         here = F.col("known")[state["at"]]
-        ends = ~here["nested"] | (level == max_depth)
+        ends = ~here["nested"]
         tail = F.when(ends, F.concat(here["own"], state["tail"])).otherwise(F.concat(here["step"], state["tail"]))
         words = F.coalesce(state["words"], here["words"])
         at = F.coalesce(here["scope"], state["at"])
         return F.struct(at.alias("at"), F.when(state["done"], state["tail"]).otherwise(tail).alias("tail"), (state["done"] | ends).alias("done"), words.alias("words"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, climb)
+    found = F.aggregate(F.sequence(F.lit(1), F.size("known")), start, climb)
     paths = paths.select(key, F.col("ord").alias("scope"), "itemtype", found["tail"].alias("scope_path"), F.coalesce(found["words"], F.lit("OTHER")).alias("words"))
 
     types = _tokens(F.col("itemtype"))
