@@ -1,10 +1,16 @@
-"""Byte-level BPE encoding and decoding by merge replay over a slice of the corpus.
+"""Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task takes the different pieces of a slice of texts at once. An inverted index leads from
-the rank of a pair of tokens to the positions where the pair stands, over all pieces.
-Merges are replayed in order of rank; each touches only the positions in its entry and
-their neighbours, whose new pairs enter the index. No text waits for another, so slices are
-independent, need no exchange and hold bounded memory.
+The different pieces of the whole corpus are counted by a grouped aggregation, and each is
+encoded once, wherever and however often it stands. A task replays the merges over its
+share of the pieces: an inverted index leads from the rank of a pair of tokens to the
+positions where the pair stands, over all pieces; merges are replayed in order of rank;
+each touches only the positions in its entry and their neighbours, whose new pairs enter
+the index.
+
+Texts then take the ids of their pieces. The most frequent pieces, bounded in number and in
+bytes, are broadcast; by Zipf's law they are nearly all that stands in texts. Where that is
+not all pieces of the corpus, texts leave gaps for the others: these are joined by piece
+and brought home by the digest of the text.
 
 Defined results: a null text is empty and has no ids; repeated rows get equal results; an
 empty table gives an empty result; other columns than the named ones are ignored. Ids that
@@ -20,15 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .pieces import PieceTable
+from .common import column, cut, schema_of, slices, table
+from .pieces import split_batch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: What is broadcast at most: so many pieces of at most so many bytes each.
+MOST_PIECES, MOST_PIECE_BYTES = 100_000, 48
 _MERGES: dict = {}
-_TABLES: dict[str, PieceTable] = {}
+GAP = -1
 
 
 class MergeReplay:
@@ -40,6 +49,7 @@ class MergeReplay:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.known, self.known_ids = pa.array(list(self.ranks), pa.binary()), np.array(list(self.ranks.values()), dtype=np.int32)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         # Every pair of tokens that makes a token, sorted by pair.
         whole = [(self.ranks[t[:k]] << 32 | self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
@@ -47,41 +57,41 @@ class MergeReplay:
         self.pairs, self.merged = np.append(pairs[:, 0], np.int64(2**62)), np.append(pairs[:, 1], -1)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The ranks of what pairs of tokens make together, or -1."""
-        key = a.astype(np.int64) << 32 | b
+        """The ranks of what pairs of tokens make together, or -1; of what is no token, -1 too."""
+        key = np.maximum(a, 0).astype(np.int64) << 32 | np.maximum(b, 0)
         at = np.searchsorted(self.pairs, key)
-        return np.where(self.pairs[at] == key, self.merged[at], -1)
-
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece."""
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        whole = [self.ranks.get(p) for p in raw]
-        out: list[list[int]] = [[w] if w is not None else [] for w in whole]
-        open_ = [k for k, w in enumerate(whole) if w is None and raw[k]]
-        if open_:
-            for k, ids in zip(open_, self._replay([raw[k] for k in open_]), strict=True):
-                out[k] = ids
-        return out
-
-    def _replay(self, pieces: list[bytes]) -> list[list[int]]:
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        ends = np.cumsum(sizes)
-        n = int(ends[-1])
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.merged[at], -1)
+
+    def encode(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, one piece after the other, and where each piece's ids end."""
+        raw = pieces.cast(pa.binary())
+        whole = pc.index_in(raw, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+        open_ = (whole < 0) & (sizes > 0)
+        flat, ends = self._replay(np.frombuffer(b"".join(raw.filter(pa.array(open_)).to_pylist()), dtype=np.uint8), sizes[open_])
+        n = np.where(whole >= 0, 1, 0)
+        n[open_] = np.diff(ends, prepend=0)
+        out = np.empty(int(n.sum()), dtype=np.int32)
+        of_open = np.repeat(open_, n)
+        out[of_open], out[~of_open] = flat, self.known_ids[whole[whole >= 0]]
+        return out, np.cumsum(n)
+
+    def _replay(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends, n = np.cumsum(sizes), len(data)
         # A guard of no token stands before, between and after pieces.
-        place = np.arange(n) + np.repeat(np.arange(1, len(pieces) + 1), sizes)
-        token = np.full(n + len(pieces) + 1, -1, dtype=np.int32)
-        token[place] = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        place = np.arange(n) + np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        token = np.full(n + len(sizes) + 1, -1, dtype=np.int32)
+        token[place] = self.single[data]
         after, before = np.arange(1, len(token) + 1, dtype=np.int32), np.arange(-1, len(token) - 1, dtype=np.int32)
         piece = np.zeros(len(token), dtype=np.int32)
-        piece[place] = np.repeat(np.arange(len(pieces)), sizes)
+        piece[place] = np.repeat(np.arange(len(sizes)), sizes)
 
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
-        def enter(at: np.ndarray) -> np.ndarray:
-            """Puts the pairs at these positions into the index; their ranks."""
-            left, right = token[at], token[after[at]]
-            rank = np.where((left >= 0) & (right >= 0), self.pair_ranks(left, np.maximum(right, 0)), -1)
+        def enter(at: np.ndarray) -> None:
+            """Puts the pairs at these positions into the index."""
+            rank = self.pair_ranks(token[at], token[after[at]])
             order = np.argsort(rank, kind="stable")
             sorted_rank = rank[order]
             starts = np.flatnonzero(np.diff(sorted_rank, prepend=-1))  # what makes no token comes first and is left out
@@ -92,35 +102,44 @@ class MergeReplay:
                 else:
                     index[r] = [at[order[a:b]]]
                     heapq.heappush(heap, r)
-            return rank
 
         enter(place)
         while heap:
             r = heapq.heappop(heap)
-            entry = index.pop(r)
-            at = np.unique(np.concatenate(entry)) if len(entry) > 1 else np.unique(entry[0])
-            left = token[at]
-            right = token[after[at]]
-            at = at[(left >= 0) & (right >= 0) & (self.pair_ranks(left, np.maximum(right, 0)) == r)]
+            at = np.unique(np.concatenate(index.pop(r)))
+            at = at[token[at] >= 0]
+            at = at[self.pair_ranks(token[at], token[after[at]]) == r]
             if not len(at):
                 continue
-            # Pairs that overlap: the leftmost goes first, and the rest waits; so does what follows in the same piece if a merge makes a pair of lower rank.
-            own = piece[at]
-            first = np.concatenate([[True], own[1:] != own[:-1]])
-            if not first.all():
-                index[r] = [at[~first]]
-                heapq.heappush(heap, r)
-                at = at[first]
+            # In a run of pairs that overlap, every second one is merged: the leftmost goes first.
+            number = np.arange(len(at))
+            overlaps = np.zeros(len(at), dtype=bool)
+            overlaps[1:] = after[at[:-1]] == at[1:]
+            run = np.maximum.accumulate(np.where(overlaps, 0, number))
+            at = at[(number - run) % 2 == 0]
             gone = after[at]
             far = after[gone]
+            # If a merge makes a pair of lower rank, that pair comes before what follows in the same piece, which waits.
+            left = token[before[at]].copy()
+            left[1:][far[:-1] == at[1:]] = r
+            new = np.full(len(at), r, dtype=np.int32)
+            on_left, on_right = self.pair_ranks(left, new), self.pair_ranks(new, token[far])
+            early = ((on_left >= 0) & (on_left < r)) | ((on_right >= 0) & (on_right < r))
+            if early.any():
+                own = piece[at]
+                passed = np.cumsum(early) - early  # early merges before this one, of any piece
+                first = np.searchsorted(own, own)
+                waits = passed > passed[first]
+                if waits.any():
+                    index[r] = [at[waits]]
+                    heapq.heappush(heap, r)
+                    at, gone, far = at[~waits], gone[~waits], far[~waits]
             token[at], token[gone] = r, -2
             after[at], before[far] = far, at
-            enter(np.concatenate([before[at], at]))
+            enter(np.unique(np.concatenate([before[at], at])))
         rest = token[place]
         left_over = rest >= 0
-        counts = np.concatenate([[0], np.cumsum(left_over)])[np.concatenate([[0], ends])].tolist()
-        flat = rest[left_over].tolist()
-        return [flat[a:b] for a, b in zip(counts, counts[1:], strict=False)]
+        return rest[left_over], np.concatenate([[0], np.cumsum(left_over)])[ends]
 
 
 def merges(path: str) -> MergeReplay:
@@ -130,53 +149,161 @@ def merges(path: str) -> MergeReplay:
     return _MERGES[path]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, slice_rows: int = 4000) -> DataFrame:
-    """The id column and ids, an array of int, of every whole text. slice_rows: texts whose merges are replayed together."""
-    rows_at_once = 1000
-    kind = docs.schema[id_col].dataType.simpleString()
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    places = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(places), pa.array(values.astype(np.int32)))
+
+
+def piece_ids(texts: DataFrame, vocabulary: str = VOCABULARY, bytes_at_once: int = 3 << 20) -> DataFrame:
+    """piece, n (how often it stands in the column text, which has no nulls) and ids, for every different piece."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in slices(batch.column(0)):
+                found = split_batch(batch.column(0).slice(at, n)).flatten().value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["piece", "n"])
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+        for batch in whole:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(*merges(vocabulary).encode(batch.column(0)))], names=["piece", "n", "ids"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at, n in slices(batch.column(0), bytes_at_once, 1 << 20):
+                some = batch.slice(at, n)
+                more = pc.sum(pc.binary_length(some.column(0))).as_py() or 0
+                if held and size + more > bytes_at_once:
+                    yield from done(held)
+                    held, size = [], 0
+                held.append(some)
+                size += more
+        if held:
+            yield from done(held)
+
+    counted = texts.select("text").mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(replay, "piece string, n bigint, ids array<int>")
+
+
+def _gather(flat: np.ndarray, stops: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists numbered at, of lists that end at stops[1:], one after the other; and where each ends."""
+    first, n = stops[at], stops[at + 1] - stops[at]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(first - (ends - n), n)], ends
+
+
+class _Frequent:
+    """Ids of the most frequent pieces; every other piece is a gap."""
+
+    def __init__(self, found: pa.Table):
+        self.pieces = found.column("piece").combine_chunks()
+        lists = found.column("ids").combine_chunks()
+        # The last list, of one gap, stands for every other piece.
+        self.flat = np.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.int32(GAP))
+        self.stops = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), [len(self.flat)]])
+
+    def look(self, texts: pa.StringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All pieces of the texts, the number of each, and where each text's pieces end."""
+        found = split_batch(texts)
+        values = found.flatten()
+        ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        if not len(values):
+            return values, np.zeros(0, dtype=np.int64), ends
+        coded = values.dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.pieces).fill_null(len(self.pieces)).to_numpy(zero_copy_only=False)
+        return values, known[coded.indices.to_numpy(zero_copy_only=False)], ends
+
+    def rare(self, texts: pa.StringArray) -> pa.ListArray:
+        """The pieces of each text that aren't among the frequent, in order."""
+        values, number, ends = self.look(texts)
+        rare = number == len(self.pieces)
+        stops = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], ends])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(stops), values.filter(pa.array(rare)))
+
+    def ids(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text, with gaps."""
+        _, number, ends = self.look(texts)
+        ids, stops = _gather(self.flat, self.stops, number)
+        return _lists(ids, np.concatenate([[0], stops])[ends])
+
+
+def _each_text(fn, name: str):
+    """The column text, last of the columns, as fn of it; texts come in slices of bounded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _TABLES:
-            _TABLES[vocabulary] = PieceTable(merges(vocabulary).encode, most=400_000)
-        encoder = _TABLES[vocabulary]
         for whole in batches:
-            for k in range(0, whole.num_rows, rows_at_once):
-                if k % slice_rows == 0:
-                    encoder.learn(whole.column(1).slice(k, slice_rows), rows_at_once)
-                batch = whole.slice(k, rows_at_once)
-                flat, ends = encoder.ids(batch.column(1))
-                places = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(places, pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+            for at, n in slices(whole.column(whole.num_columns - 1)):
+                batch = whole.slice(at, n)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fn(batch.column(batch.num_columns - 1))], names=[*batch.schema.names[:-1], name])
+
+    return run
+
 
-    ready = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return ready.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and ids, whose gaps take the ids of column filling, one after the other."""
+    for batch in batches:
+        ids, filling = batch.column(1), batch.column(2)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        text_ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        inner = filling.flatten()
+        gaps = flat == GAP
+        width = np.ones(len(flat), dtype=np.int64)
+        width[gaps] = inner.value_lengths().to_numpy(zero_copy_only=False)
+        out = np.repeat(flat, width)
+        out[out == GAP] = inner.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(width)])[text_ends]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out, ends)], names=["id", "ids"])
 
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, most_pieces: int = MOST_PIECES) -> DataFrame:
+    """The id column and ids, an array of int, of every whole text. most_pieces: how many pieces are broadcast at most."""
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    pieces = cut(piece_ids(texts, vocabulary), "bpe-pieces")
+    short = pieces.where(F.octet_length("piece") <= MOST_PIECE_BYTES).orderBy(F.desc("n"), "piece").limit(most_pieces)
+    found = short.select("piece", "ids").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(_Frequent(found))
+    to_ids, to_rare = (lambda t: shared.value.ids(t)), (lambda t: shared.value.rare(t))
+    if pieces.count() == found.num_rows:
+        return texts.mapInArrow(_each_text(to_ids, "ids"), schema_of(texts, ["id"], "ids array<int>")).withColumnRenamed("id", id_col)
+    # Digests tell texts apart whichever task meets them; copies ask once.
+    keyed = texts.select(F.unhex(F.sha2("text", 256)).alias("key"), "id", "text")
+    gaps = keyed.select("key", "text").mapInArrow(_each_text(to_rare, "rare"), "key binary, rare array<string>").where(F.size("rare") > 0)
+    asked = gaps.groupBy("key").agg(F.first("rare").alias("rare")).select("key", F.posexplode("rare").alias("nth", "piece"))
+    told = asked.join(pieces.select("piece", F.col("ids").alias("one")), "piece")
+    home = told.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "one"))).alias("found"))
+    home = cut(home.select("key", F.transform("found", lambda x: x["one"]).alias("filling")), "bpe-gaps")
+    coded = keyed.mapInArrow(_each_text(to_ids, "ids"), schema_of(keyed, ["key", "id"], "ids array<int>"))
+    # Both sides are plain, so the copies of a text can be split.
+    filled = coded.join(home, "key", "left").select("id", "ids", F.coalesce("filling", F.array().cast("array<array<int>>")).alias("filling"))
+    return filled.mapInArrow(_fill, schema_of(texts, ["id"], "ids array<int>")).withColumnRenamed("id", id_col)
+
+
+def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY, ids_at_once: int = 1 << 20) -> DataFrame:
     """The id and ids columns and bytes, what the ids stand for; null ids: no bytes."""
-    kind = encoded.schema[id_col].dataType.simpleString()
-    rows_at_once = 500
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = merges(vocabulary).tokens
         sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        data, stops = np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(sizes)
+        data, stops = np.frombuffer(b"".join(tokens), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)])
         for whole in batches:
-            for k in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(k, rows_at_once)
+            lengths = whole.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = 0
+            while at < whole.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), ids_at_once, side="right")))
+                batch = whole.slice(at, n)
                 ids = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens) or not sizes[ids].all()):
                     raise ValueError("ids that the vocabulary lacks")
-                n = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                width = sizes[ids]
-                ends = np.concatenate([[0], np.cumsum(width)])
-                out = data[np.arange(ends[-1]) + np.repeat(stops[ids] - ends[1:], width)]
-                places = ends[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[id_col, ids_col, "bytes"])
-
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, bytes binary")
+                out, ends = _gather(data, stops, ids)
+                places = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths[at : at + n])])].astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(places), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=["id", "ids", "bytes"])
+                at += n
+
+    ready = encoded.select(column(id_col).alias("id"), column(ids_col).alias("ids"))
+    return ready.mapInArrow(run, schema_of(ready, ["id", "ids"], "bytes binary")).toDF(id_col, ids_col, "bytes")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
