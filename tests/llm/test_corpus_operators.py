@@ -5,7 +5,6 @@ import hashlib
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,10 +171,6 @@ def test_quality_classifier(spark, docs_of, prose):
     assert quality_classifier.classify(docs_of([]), labels).count() == 0
 
 
-def test_binary_lists_split():
-    assert pa.array([[1], [2, 3]]).flatten().to_pylist() == [1, 2, 3]
-
-
 def test_repeated_rows_take_no_neighbours_place(spark):
     rng = np.random.default_rng(8)
     x = (10 + 0.1 * rng.standard_normal((60, 8))).astype(np.float32)

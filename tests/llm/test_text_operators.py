@@ -37,14 +37,27 @@ def test_split_is_the_pattern(texts):
 def test_merge_replay_is_bpe(texts):
     replay = bpe.merges(bpe.VOCABULARY)
     plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=replay.ranks, special_tokens={})
-    table = pieces.PieceTable(replay.encode, most=10)
-    flat, ends = table.ids(pa.array(texts, pa.string()))
-    assert [flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [plain.encode_ordinary(t) for t in texts]
+    for text in texts:
+        found = pieces.split(text)
+        flat, ends = replay.encode(pa.array(found, pa.string()))
+        assert flat.tolist() == plain.encode_ordinary(text) and len(ends) == len(found)
 
 
-def test_bpe_round_trip(docs_of, prose):
-    rows = _rows(prose)
-    found = {r["doc_id"]: r for r in bpe.decode(bpe.encode(docs_of(rows), slice_rows=4000)).collect()}
+def test_long_runs_take_little_time():
+    """A piece of a million equal characters: quadratic work would take hours."""
+    replay = bpe.merges(bpe.VOCABULARY)
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=replay.ranks, special_tokens={})
+    for unit in ("a", "ab", "=", "é"):
+        assert replay.encode(pa.array([unit * 3001]))[0].tolist() == plain.encode_ordinary(unit * 3001)
+        flat, _ = replay.encode(pa.array([unit * (1_000_000 // len(unit))]))
+        assert b"".join(replay.tokens[i] for i in flat.tolist()) == (unit * (1_000_000 // len(unit))).encode()
+
+
+@pytest.mark.parametrize("most", [0, 20, 100_000])
+def test_bpe_round_trip(docs_of, prose, most):
+    """With all, few and no pieces broadcast."""
+    rows = [*_rows(prose), (7000, "z" * 200_000), (7001, "z" * 200_000 + " q"), (7001, "z" * 200_000 + " q")]
+    found = {r["doc_id"]: r for r in bpe.decode(bpe.encode(docs_of(rows), most_pieces=most)).collect()}
     plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.merges(bpe.VOCABULARY).ranks, special_tokens={})
     for i, t in rows:
         assert found[i]["ids"] == plain.encode_ordinary(t or "") and bytes(found[i]["bytes"]) == (t or "").encode()
@@ -138,7 +151,3 @@ def test_rules_keep_clean_and_drop_junk(docs_of, prose):
 def test_em_without_patterns():
     model = quality_rules.fit_label_model(np.zeros((0, len(quality_rules.RULES)), dtype=int), np.zeros(0))
     assert model.prior > 0 and all(b < 0 < g for b, g in model.weights.values())
-
-
-def test_digests():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and zlib.crc32(b"") == 0

@@ -5,7 +5,8 @@ labelled rows and calibrated by a logistic fit on a histogram of its values. Sit
 sums of document probabilities by host and by path. A host's rate is shrunk towards the
 global rate, a path's towards its host's, each by a prior strength that the spread between
 sites gives (method of moments); so sparse sites stay near their parent. A document's
-log odds are its own plus its path's distance from the global rate.
+log odds are its own plus its path's distance from the global rate, where its own
+probability is left out of its host's and path's rates: no evidence counts twice.
 
 Only counts over fixed bins, a fixed histogram and a few sums reach the driver.
 
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import column, cut, table
 from .quality_rules import text_stats
 
 BINS = 12
@@ -107,14 +108,14 @@ def classify(
     path_cols: Sequence[str] = ("source", "lang"),
     threshold: float = 0.5,
 ) -> DataFrame:
-    """doc_id, doc_score, host_rate, path_rate, score and kept."""
+    """doc_id, doc_score, host_rate, path_rate (both as the other documents give them), score and kept."""
     tagged = docs.select(
-        F.struct(F.col(id_col).alias("id"), F.xxhash64(*host_cols).alias("host"), F.xxhash64(*host_cols, *path_cols).alias("path")).alias("key"),
-        F.col(text_col).alias("text"),
+        F.struct(column(id_col).alias("id"), F.xxhash64(*map(column, host_cols)).alias("host"), F.xxhash64(*map(column, [*host_cols, *path_cols])).alias("path")).alias("key"),
+        column(text_col).alias("text"),
     )
     stats = text_stats(tagged, "key").select("doc_id.id", "doc_id.host", "doc_id.path", *(v.alias(f"bin_{k}") for k, v in _binned().items()))
     stats = cut(stats, "classifier-bins")
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    marks = labels.where(column(label_col).isin(0, 1)).select(column(id_col).alias("id"), column(label_col).cast("int").alias("label"))
     labelled = cut(stats.join(marks, "id"), "classifier-labelled")
 
     ratios, bad, good = _fit_ratios(labelled)
@@ -131,14 +132,14 @@ def classify(
     hosts = cut(paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("n")), "hosts")
     whole = hosts.agg(F.sum("host_good").alias("good"), F.sum("n").alias("n")).first()
     rate = ((whole["good"] or 0.0) + 1) / ((whole["n"] or 0) + 2)
-    weight = _strength(hosts, F.col("host_good") / F.col("n"), F.lit(rate))
-    hosts = hosts.select("host", ((F.col("host_good") + weight * rate) / (F.col("n") + weight)).alias("host_rate"))
+    of_host = _strength(hosts, F.col("host_good") / F.col("n"), F.lit(rate))
+    hosts = hosts.select("host", "host_good", F.col("n").alias("host_n"))
     sites = cut(paths.join(hosts, "host"), "sites")
-    weight = _strength(sites, F.col("good") / F.col("n"), F.col("host_rate"))
-    sites = cut(
-        sites.select("host", "path", "host_rate", ((F.col("good") + weight * F.col("host_rate")) / (F.col("n") + weight)).alias("path_rate")), "rates"
-    )
+    of_path = _strength(sites, F.col("good") / F.col("n"), (F.col("host_good") + of_host * rate) / (F.col("host_n") + of_host))
+    # The sites' sums without the document itself.
     judged = scored.join(sites, ["host", "path"])
+    judged = judged.withColumn("host_rate", (F.col("host_good") - F.col("doc_score") + of_host * rate) / (F.col("host_n") - 1 + of_host))
+    judged = judged.withColumn("path_rate", (F.col("good") - F.col("doc_score") + of_path * F.col("host_rate")) / (F.col("n") - 1 + of_path))
     posterior = 1 / (1 + F.exp(-(F.col("odds") + _logit(F.col("path_rate")) - F.lit(math.log(rate / (1 - rate))))))
     found = judged.select(F.col("id").alias(id_col), "doc_score", "host_rate", "path_rate", posterior.alias("score"))
     return found.withColumn("kept", F.col("score") >= threshold)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, column, cut, table
 
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_letters", "n_symbol_runs", "n_distinct_words")
@@ -35,9 +35,9 @@ def _covered(starts: Column) -> Column:
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and STATS, all long, over whole texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     word_list = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), word_list.alias("words"))
+    base = docs.select(column(id_col).alias("doc_id"), text.alias("text"), word_list.alias("words"))
 
     # A hash of each window of 8 words; most documents have no two alike.
     windows = F.when(

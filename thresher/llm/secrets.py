@@ -1,10 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidates in every whole text. The hash of each candidate value is counted
-over the whole corpus by distinct owners and repositories: a value that many owners hold
-is a copied example, one that stays with few owners looks like a live credential. Long
-mixed tokens that no pattern names count as findings (kind `generic`) only if they stay
-with few owners.
+over the whole corpus by distinct owners and repositories: a value that many owners or many
+repositories hold is a copied example, one that stays with few looks like a live
+credential. Long mixed tokens that no pattern names count as findings (kind `generic`) only
+if they look live.
 
 Values leave a text only as hashes. Rows carry one finding each, so a text with very many
 findings is just many rows.
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, quoted, table, whole_row
 
 KINDS = ("assign", "access", "hex", "generic")
 PATTERNS = {
@@ -33,6 +33,8 @@ PATTERNS = {
 #: Which group of a pattern is the secret value.
 VALUE = {"assign": 2, "access": 0, "hex": 0, "generic": 0}
 MARK = "[REDACTED]"
+#: A value that more owners or more repositories hold is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 3
 
 
 def _mixed(value: Column) -> Column:
@@ -89,15 +91,17 @@ def _apart(found: DataFrame) -> DataFrame:
     return found.select("*", (base | clear).alias("apart")).withColumn("kind", F.when(F.col("apart"), F.col("kind"))).drop("apart")
 
 
-def _judged(docs: DataFrame, text_col: str, id_col: str, owner_cols: Sequence[str], repo_cols: Sequence[str], max_owners: int) -> DataFrame:
+def _ready(docs: DataFrame, text_col: str, id_col: str, owner_cols: Sequence[str], repo_cols: Sequence[str], inside: str = "") -> DataFrame:
+    """uid, id, owner, repo and text; inside: the struct, with a point after it, that holds the named columns."""
+    held = lambda names: [F.col(inside + quoted(c)) for c in names]
+    return docs.select(
+        "uid", *(c.alias("id") for c in held([id_col])), F.xxhash64(*held(owner_cols)).alias("owner"),
+        F.xxhash64(*held(owner_cols), *held(repo_cols)).alias("repo"), *(F.coalesce(c, F.lit("")).alias("text") for c in held([text_col])),
+    )
+
+
+def _judged(ready: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     """Findings, and a row whose kind is null for each text that may have none."""
-    ready = docs.select(
-        "uid",
-        F.col(id_col).alias("id"),
-        F.xxhash64(*owner_cols).alias("owner"),
-        F.xxhash64(*owner_cols, *repo_cols).alias("repo"),
-        F.coalesce(text_col, F.lit("")).alias("text"),
-    )
     found = cut(_apart(_matches(ready)), "secret-matches")
     held = cut(
         found.where("kind is not null").groupBy("hash", "owner", "repo").count()
@@ -107,7 +111,7 @@ def _judged(docs: DataFrame, text_col: str, id_col: str, owner_cols: Sequence[st
     )
     # Both sides are plain scans here, so a value that very many rows hold can be split.
     spread = found.withColumn("hash", F.when(F.col("kind").isNull(), F.concat(F.lit("-"), "uid")).otherwise(F.col("hash")))
-    judged = spread.join(held, "hash", "left").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = spread.join(held, "hash", "left").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     kind = F.when((F.col("kind") < 3) | F.col("live"), F.col("kind"))
     return judged.select("uid", "id", kind.alias("kind"), "start", "stop", "hash", "n_owners", "n_repos", "live")
 
@@ -118,13 +122,14 @@ def scan(
     id_col: str = "doc_id",
     owner_cols: Sequence[str] = ("source",),
     repo_cols: Sequence[str] = ("source", "lang"),
-    max_owners: int = 2,
+    max_owners: int = MAX_OWNERS,
+    max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """docs must have uid, unique for each row. Returns uid, id, kind (index in KINDS), start, stop, hash, n_owners, n_repos, live.
 
-    live: at most max_owners owners hold the value. Generic findings that aren't live are left out.
+    live: at most max_owners owners and max_repos repositories hold the value. Generic findings that aren't live are left out.
     """
-    return _judged(docs, text_col, id_col, owner_cols, repo_cols, max_owners).where("kind is not null")
+    return _judged(_ready(docs, text_col, id_col, owner_cols, repo_cols), max_owners, max_repos).where("kind is not null")
 
 
 def _spans_by_row(found: DataFrame) -> DataFrame:
@@ -139,12 +144,12 @@ def redact(
     id_col: str = "doc_id",
     owner_cols: Sequence[str] = ("source",),
     repo_cols: Sequence[str] = ("source", "lang"),
-    max_owners: int = 2,
+    max_owners: int = MAX_OWNERS,
+    max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """docs with each live finding replaced by MARK; copied examples stay."""
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row")), "secret-docs")
-    field = lambda cols: [f"row.{c}" for c in cols]
-    found = scan(numbered, f"row.{text_col}", f"row.{id_col}", field(owner_cols), field(repo_cols), max_owners)
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("uid"), whole_row(docs).alias("row")), "secret-docs")
+    found = _judged(_ready(numbered, text_col, id_col, owner_cols, repo_cols, "row."), max_owners, max_repos).where("kind is not null")
     live = _spans_by_row(found.where("live")).select(F.col("uid").alias("found_uid"), "spans")
     merged = F.aggregate(
         "spans",
@@ -157,7 +162,7 @@ def redact(
             ),
         ).otherwise(F.concat(a, F.array(F.struct(s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop"))))),
     )
-    whole = numbered.join(live, numbered["uid"] == live["found_uid"], "left").select("row", F.col(f"row.{text_col}").alias("text"), merged.alias("spans"))
+    whole = numbered.join(live, numbered["uid"] == live["found_uid"], "left").select("row", F.col("row." + quoted(text_col)).alias("text"), merged.alias("spans"))
     before = F.transform(
         "spans",
         lambda s, i: F.substring(
@@ -168,12 +173,12 @@ def redact(
     )
     tail = F.substring(F.col("text"), (F.element_at("spans", -1)["stop"] + 1).cast("int"), F.length("text"))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(before, MARK), F.lit(MARK), tail))
-    return whole.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return whole.select(*(text.alias(c) if c == text_col else F.col("row." + quoted(c)).alias(c) for c in docs.columns))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("uid", F.monotonically_increasing_id())
-    spans = _spans_by_row(_judged(docs, "text", "doc_id", ("source",), ("source", "lang"), max_owners=2))
+    spans = _spans_by_row(_judged(_ready(docs, "text", "doc_id", ("source",), ("source", "lang")), MAX_OWNERS, MAX_REPOS))
     name = F.array(*(F.lit(k) for k in KINDS))
     shown = lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"] != 3)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fraction_of, table
+from .common import column, cut, fraction_of, table
 
 #: numpy's exact sampler takes populations below this.
 _NUMPY_LIMIT = 10**9
@@ -81,10 +81,10 @@ def shuffle_into_shards(
     one task, spilling as needed). rows_per_block: rows of a shard that one task orders.
     """
     spark = docs.sparkSession
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    raw = F.coalesce(column(text_col), F.lit("")).cast("binary")
     narrow = cut(
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            column(id_col).alias("doc_id"),
             (F.octet_length(raw).cast("long") + 16).alias("size"),
             F.crc32(raw).alias("text_crc32"),
             F.monotonically_increasing_id().alias("uid"),

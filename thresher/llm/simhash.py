@@ -39,9 +39,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import each_group, spread
-from .common import cut, table
+from .common import column, cut, schema_of, slices, table
 from .graph import components, star_edges
 
+
 @dataclass(frozen=True)
 class Cover:
     """words: 64-bit words of a fingerprint; parts: (word, first bit, bits); generator: of the cyclic code; slack: differences in a part; compared: words that distances are of."""
@@ -93,17 +94,19 @@ def majority(hashes: np.ndarray, words: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, words: int = 1) -> DataFrame:
-    """The id column and the words w0, ... of the fingerprint, longs."""
+    """id and the words w0, ... of the fingerprint, longs."""
     names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [fingerprint(t.as_py(), size, words=words) for t in batch.column(1)]
-            columns = [pa.array([v[k] for v in values], pa.int64()) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *names])
+        for whole in batches:
+            for at, n in slices(whole.column(1)):
+                batch = whole.slice(at, n)
+                values = [fingerprint(t.as_py(), size, words=words) for t in batch.column(1)]
+                columns = [pa.array([v[k] for v in values], pa.int64()) for k in range(words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    ready = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    return ready.mapInArrow(run, schema_of(ready, ["id"], ", ".join(f"{n} bigint" for n in names)))
 
 
 @cache
@@ -227,13 +230,13 @@ def near_duplicates(
     prints = cut(fingerprints(docs, id_col, text_col, size, cover.words), "fingerprints")
     # Nodes need an order of their own, as ids may be null: of one word the word itself, else a number.
     node = F.col("w0") if cover.words == 1 else F.monotonically_increasing_id()
-    points = cut(prints.groupBy(*words).agg(F.min(id_col).alias("least")).select(node.alias("node"), *words, "least"), "points")
+    points = cut(prints.groupBy(*words).agg(F.min("id").alias("least")).select(node.alias("node"), *words, "least"), "points")
     roots = components(link(points, distance, cover)).withColumnRenamed("node", "tied")
     rooted = points.join(roots, points["node"] == roots["tied"], "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     rooted = cut(rooted, "rooted")
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     labels = cut(rooted.join(named, "root").select(*words, "component_id"), "labels")
-    return prints.join(labels, words).select(id_col, *words, "component_id")
+    return prints.join(labels, words).select(F.col("id").alias(id_col), *words, "component_id")
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
@@ -246,21 +249,25 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, words: int
         return [*(int.from_bytes(name[k : k + 8], "big", signed=True) for k in (0, 8)), *majority(hashes, words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [one(t.as_py()) for t in batch.column(1)]
-            columns = [pa.array([v[k] for v in values], pa.int64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", *names])
+        for whole in batches:
+            for at, n in slices(whole.column(1)):
+                batch = whole.slice(at, n)
+                values = [one(t.as_py()) for t in batch.column(1)]
+                columns = [pa.array([v[k] for v in values], pa.int64()) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", *names])
 
-    return docs.select(F.col(id_col).alias("node"), text_col).mapInArrow(run, "node bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.select(column(id_col).alias("node"), column(text_col).alias("text")).mapInArrow(run, "node bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def _with_sets(size: int):
     """The text, last of the columns, as its sorted set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingles(t.as_py(), size)).view(np.int64) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "hashes"])
+        for whole in batches:
+            for at, n in slices(whole.column(whole.num_columns - 1)):
+                batch = whole.slice(at, n)
+                found = [np.unique(shingles(t.as_py(), size)).view(np.int64) for t in batch.column(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "hashes"])
 
     return run
 
@@ -322,7 +329,7 @@ def alike(
     sizes = cut(rooted.groupBy("root").agg(F.ceil(F.sum("n") / chunk).alias("chunks"), F.sum("n").alias("n")).where("n > 1").drop("n"), "sizes")
     labels = cut(rooted.drop("n").join(sizes, "root"), "labels")
     members = cut(sets.join(labels, words).select("node", "root", "chunks"), "members")
-    texts = members.join(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), "node")
+    texts = members.join(docs.select(column(id_col).alias("node"), column(text_col).alias("text")), "node")
     own = texts.select("node", "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("own"), "text")
     compared = own.mapInArrow(_with_sets(size), "node bigint, root bigint, chunks bigint, own bigint, hashes array<bigint>")
     grid = compared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
