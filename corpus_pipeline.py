@@ -3,8 +3,8 @@
 Quality rules and toxicity drop the documents they reject, near-duplicates keep the first
 document of each group, secret scans replace live-looking secrets in the texts, and packing
 cuts what is left into training sequences. All stages but the last return the columns of
-documents. Rows are told apart by themselves, not by doc_id, so null or repeated ids do no
-harm.
+documents, whatever their names. Rows are told apart by themselves, not by doc_id, so null
+or repeated ids do no harm. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm.common import cut, table
+from thresher.llm.common import cut, packed, table
 from thresher.llm.packing import pack
 from thresher.llm.quality_rules import judge
 from thresher.llm.secrets import redact
@@ -24,33 +24,33 @@ TOXIC = 0.3
 SIMILAR = 0.8
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Each row whole, as the column row, beside its text."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(_rows(docs), id_col="row").where("kept").select("doc_id.*")
+    """The documents that pass the base rule and that the label model finds good. A null text has no words and goes; repeated rows go or stay together."""
+    return judge(packed(docs), id_col="row").where("kept").select("doc_id.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score below TOXIC. It learns from the labelled among docs; without usable labels nothing goes. A null text scores as an empty one."""
     weights = train(docs, table(spark, sf_dir, "labels"))
-    return score(_rows(docs), weights, id_col="row").where(F.col("score") < TOXIC).select("row.*")
+    return score(packed(docs), weights, id_col="row").where(F.col("score") < TOXIC).select("row.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = cut(docs.withColumn("_uid", F.monotonically_increasing_id()), "dedup-docs")
-    found = alike(numbered, id_col="_uid", size=5, least=SIMILAR)
-    kept = found.where(F.col("node") == F.col("root")).select(F.col("node").alias("_uid"))
-    return numbered.join(kept, "_uid", "left_semi").select(*docs.columns)
+    """One document, the first met, of each group of near-duplicates; repeated rows are such a group, and so are all texts without words."""
+    numbered = cut(packed(docs).withColumn("uid", F.monotonically_increasing_id()), "dedup-docs")
+    found = alike(numbered, id_col="uid", size=5, least=SIMILAR)
+    kept = found.where(F.col("node") == F.col("root")).select(F.col("node").alias("uid"))
+    return numbered.join(kept, "uid", "left_semi").select("row.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with live-looking secrets replaced and n_chars, where there is such a column, counted anew. A null text stays null, and so does its n_chars."""
     found = redact(docs)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document in its training sequence. A null text is empty and packs as the closing id alone."""
     return pack(docs)
 
 
