@@ -108,7 +108,7 @@ SECRETS = [
 def test_secret_spans(docs_of, prose):
     rows = [*_rows(prose), *((100 + k, s) for k, s in enumerate(SECRETS)), (100, SECRETS[0])]
     docs = docs_of(rows).drop("uid").withColumn("uid", F.monotonically_increasing_id())
-    found = secrets._spans_by_row(secrets._judged(docs, "text", "doc_id", ("source",), ("source", "lang"), 2)).collect()
+    found = secrets._spans_by_row(secrets._judged(secrets._ready(docs, "text", "doc_id", ("source",), ("source", "lang")), 2, 3)).collect()
     assert len(found) == len(rows)
     texts = dict(rows)
     for r in found:

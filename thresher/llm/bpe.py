@@ -1,16 +1,15 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The different pieces of the whole corpus are counted by a grouped aggregation, and each is
-encoded once, wherever and however often it stands. A task replays the merges over its
-share of the pieces: an inverted index leads from the rank of a pair of tokens to the
-positions where the pair stands, over all pieces; merges are replayed in order of rank;
-each touches only the positions in its entry and their neighbours, whose new pairs enter
-the index.
-
-Texts then take the ids of their pieces. The most frequent pieces, bounded in number and in
-bytes, are broadcast; by Zipf's law they are nearly all that stands in texts. Where that is
-not all pieces of the corpus, texts leave gaps for the others: these are joined by piece
-and brought home by the digest of the text.
+The different pieces of the whole corpus are counted by a grouped aggregation. Merges are
+replayed over pieces, not over texts: an inverted index leads from the rank of a pair of
+tokens to the positions where the pair stands, over all pieces at hand; merges are replayed
+in order of rank; each touches only the positions in its entry and their neighbours, whose
+new pairs enter the index.
+
+The most frequent pieces, bounded in number and in bytes, are replayed once for the whole
+corpus, wherever and however often they stand, and their ids are broadcast; by Zipf's law
+they are nearly all that stands in texts. The others hardly ever stand twice; a task
+replays those of a slice of texts together, which moves no text.
 
 Defined results: a null text is empty and has no ids; repeated rows get equal results; an
 empty table gives an empty result; other columns than the named ones are ignored. Ids that
@@ -35,9 +34,10 @@ from .pieces import split_batch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: What is broadcast at most: so many pieces of at most so many bytes each.
-MOST_PIECES, MOST_PIECE_BYTES = 100_000, 48
+MOST_PIECES, MOST_PIECE_BYTES = 400_000, 48
+#: Texts are split, and rare pieces replayed, in slices of so many bytes.
+SLICE_BYTES = 4 << 20
 _MERGES: dict = {}
-GAP = -1
 
 
 class MergeReplay:
@@ -55,6 +55,10 @@ class MergeReplay:
         whole = [(self.ranks[t[:k]] << 32 | self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         pairs = np.array(sorted(whole), dtype=np.int64).reshape(-1, 2)
         self.pairs, self.merged = np.append(pairs[:, 0], np.int64(2**62)), np.append(pairs[:, 1], -1)
+        # Tokens that a neighbour merges into a token of lower rank.
+        self.hasty = np.zeros(len(self.tokens), dtype=bool)
+        for token in (pairs[:, 0] >> 32, pairs[:, 0] & (2**32 - 1)):
+            self.hasty[token[pairs[:, 1] < token]] = True
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of what pairs of tokens make together, or -1; of what is no token, -1 too."""
@@ -106,37 +110,39 @@ class MergeReplay:
         enter(place)
         while heap:
             r = heapq.heappop(heap)
-            at = np.unique(np.concatenate(index.pop(r)))
+            entry = index.pop(r)
+            at = entry[0] if len(entry) == 1 else np.unique(np.concatenate(entry))
             at = at[token[at] >= 0]
             at = at[self.pair_ranks(token[at], token[after[at]]) == r]
             if not len(at):
                 continue
-            # In a run of pairs that overlap, every second one is merged: the leftmost goes first.
-            number = np.arange(len(at))
-            overlaps = np.zeros(len(at), dtype=bool)
-            overlaps[1:] = after[at[:-1]] == at[1:]
-            run = np.maximum.accumulate(np.where(overlaps, 0, number))
-            at = at[(number - run) % 2 == 0]
+            overlaps = after[at[:-1]] == at[1:]
+            if overlaps.any():
+                # In a run of pairs that overlap, every second one is merged: the leftmost goes first.
+                number = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(np.append(False, overlaps), 0, number))
+                at = at[(number - run) % 2 == 0]
             gone = after[at]
             far = after[gone]
-            # If a merge makes a pair of lower rank, that pair comes before what follows in the same piece, which waits.
-            left = token[before[at]].copy()
-            left[1:][far[:-1] == at[1:]] = r
-            new = np.full(len(at), r, dtype=np.int32)
-            on_left, on_right = self.pair_ranks(left, new), self.pair_ranks(new, token[far])
-            early = ((on_left >= 0) & (on_left < r)) | ((on_right >= 0) & (on_right < r))
-            if early.any():
-                own = piece[at]
+            own = piece[at]
+            if self.hasty[r] and (own[1:] == own[:-1]).any():
+                # If a merge makes a pair of lower rank, that pair comes before what follows in the same piece, which waits.
+                left = token[before[at]].copy()
+                left[1:][far[:-1] == at[1:]] = r
+                new = np.full(len(at), r, dtype=np.int32)
+                on_left, on_right = self.pair_ranks(left, new), self.pair_ranks(new, token[far])
+                early = ((on_left >= 0) & (on_left < r)) | ((on_right >= 0) & (on_right < r))
                 passed = np.cumsum(early) - early  # early merges before this one, of any piece
-                first = np.searchsorted(own, own)
-                waits = passed > passed[first]
+                waits = passed > passed[np.searchsorted(own, own)]
                 if waits.any():
                     index[r] = [at[waits]]
                     heapq.heappush(heap, r)
                     at, gone, far = at[~waits], gone[~waits], far[~waits]
             token[at], token[gone] = r, -2
             after[at], before[far] = far, at
-            enter(np.unique(np.concatenate([before[at], at])))
+            touched = np.empty(2 * len(at), dtype=at.dtype)
+            touched[::2], touched[1::2] = before[at], at
+            enter(touched[np.append(True, touched[1:] != touched[:-1])])
         rest = token[place]
         left_over = rest >= 0
         return rest[left_over], np.concatenate([[0], np.cumsum(left_over)])[ends]
@@ -154,36 +160,35 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(places), pa.array(values.astype(np.int32)))
 
 
-def piece_ids(texts: DataFrame, vocabulary: str = VOCABULARY, bytes_at_once: int = 3 << 20) -> DataFrame:
-    """piece, n (how often it stands in the column text, which has no nulls) and ids, for every different piece."""
+def piece_counts(texts: DataFrame) -> DataFrame:
+    """piece and n, how often it stands in the column text, which has no nulls; of every different piece."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(0)):
+            for at, n in slices(batch.column(0), SLICE_BYTES):
                 found = split_batch(batch.column(0).slice(at, n)).flatten().value_counts()
                 yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["piece", "n"])
 
-    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
-        for batch in whole:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(*merges(vocabulary).encode(batch.column(0)))], names=["piece", "n", "ids"])
+    return texts.select("text").mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def frequent_pieces(texts: DataFrame, vocabulary: str, most_pieces: int) -> pa.Table:
+    """piece and ids of the pieces that stand most often: whole classes of frequency, as many as hold most_pieces or fewer."""
+    counted = piece_counts(texts).withColumn("class", F.floor(F.log2("n") * 8))
+    short = cut(counted.where(F.octet_length("piece") <= MOST_PIECE_BYTES), "bpe-pieces")
+    least, held = None, 0
+    for r in sorted(short.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        held += r["count"]
+        if held > most_pieces:
+            break
+        least = r["class"]
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            for at, n in slices(batch.column(0), bytes_at_once, 1 << 20):
-                some = batch.slice(at, n)
-                more = pc.sum(pc.binary_length(some.column(0))).as_py() or 0
-                if held and size + more > bytes_at_once:
-                    yield from done(held)
-                    held, size = [], 0
-                held.append(some)
-                size += more
-        if held:
-            yield from done(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*merges(vocabulary).encode(batch.column(0)))], names=["piece", "ids"])
 
-    counted = texts.select("text").mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(replay, "piece string, n bigint, ids array<int>")
+    chosen = short.where(F.col("class") >= least) if least is not None else short.limit(0)
+    return chosen.select("piece").mapInArrow(replay, "piece string, ids array<int>").toArrow()
 
 
 def _gather(flat: np.ndarray, stops: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,90 +199,44 @@ def _gather(flat: np.ndarray, stops: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return flat[np.arange(total) + np.repeat(first - (ends - n), n)], ends
 
 
-class _Frequent:
-    """Ids of the most frequent pieces; every other piece is a gap."""
+class _Coder:
+    """Texts to ids: frequent pieces by their number, the others by a replay over those of the slice."""
 
-    def __init__(self, found: pa.Table):
-        self.pieces = found.column("piece").combine_chunks()
-        lists = found.column("ids").combine_chunks()
-        # The last list, of one gap, stands for every other piece.
-        self.flat = np.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.int32(GAP))
-        self.stops = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), [len(self.flat)]])
+    def __init__(self, frequent: pa.Table, vocabulary: str):
+        self.vocabulary = vocabulary
+        self.pieces = frequent.column("piece").combine_chunks()
+        lists = frequent.column("ids").combine_chunks()
+        self.flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.stops = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
 
-    def look(self, texts: pa.StringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """All pieces of the texts, the number of each, and where each text's pieces end."""
+    def ids(self, texts: pa.StringArray) -> pa.ListArray:
         found = split_batch(texts)
-        values = found.flatten()
         ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        values = found.flatten()
         if not len(values):
-            return values, np.zeros(0, dtype=np.int64), ends
+            return _lists(np.zeros(0, dtype=np.int32), ends)
         coded = values.dictionary_encode()
-        known = pc.index_in(coded.dictionary, value_set=self.pieces).fill_null(len(self.pieces)).to_numpy(zero_copy_only=False)
-        return values, known[coded.indices.to_numpy(zero_copy_only=False)], ends
-
-    def rare(self, texts: pa.StringArray) -> pa.ListArray:
-        """The pieces of each text that aren't among the frequent, in order."""
-        values, number, ends = self.look(texts)
-        rare = number == len(self.pieces)
-        stops = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], ends])].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(stops), values.filter(pa.array(rare)))
-
-    def ids(self, texts: pa.StringArray) -> pa.ListArray:
-        """The ids of each text, with gaps."""
-        _, number, ends = self.look(texts)
-        ids, stops = _gather(self.flat, self.stops, number)
+        number = pc.index_in(coded.dictionary, value_set=self.pieces).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rare = number < 0
+        more, more_ends = merges(self.vocabulary).encode(coded.dictionary.filter(pa.array(rare)))
+        number[rare] = len(self.pieces) + np.arange(rare.sum())
+        flat, stops = np.concatenate([self.flat, more]), np.concatenate([self.stops, self.stops[-1] + more_ends])
+        ids, stops = _gather(flat, stops, number[coded.indices.to_numpy(zero_copy_only=False)])
         return _lists(ids, np.concatenate([[0], stops])[ends])
 
 
-def _each_text(fn, name: str):
-    """The column text, last of the columns, as fn of it; texts come in slices of bounded bytes."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, most_pieces: int = MOST_PIECES) -> DataFrame:
+    """The id column and ids, an array of int, of every whole text. most_pieces: how many pieces are broadcast at most."""
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_Coder(frequent_pieces(texts, vocabulary, most_pieces), vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at, n in slices(whole.column(whole.num_columns - 1)):
+            for at, n in slices(whole.column(1), SLICE_BYTES):
                 batch = whole.slice(at, n)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fn(batch.column(batch.num_columns - 1))], names=[*batch.schema.names[:-1], name])
-
-    return run
-
+                yield pa.RecordBatch.from_arrays([batch.column(0), shared.value.ids(batch.column(1))], names=["id", "ids"])
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and ids, whose gaps take the ids of column filling, one after the other."""
-    for batch in batches:
-        ids, filling = batch.column(1), batch.column(2)
-        flat = ids.flatten().to_numpy(zero_copy_only=False)
-        text_ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-        inner = filling.flatten()
-        gaps = flat == GAP
-        width = np.ones(len(flat), dtype=np.int64)
-        width[gaps] = inner.value_lengths().to_numpy(zero_copy_only=False)
-        out = np.repeat(flat, width)
-        out[out == GAP] = inner.flatten().to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(width)])[text_ends]
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out, ends)], names=["id", "ids"])
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, most_pieces: int = MOST_PIECES) -> DataFrame:
-    """The id column and ids, an array of int, of every whole text. most_pieces: how many pieces are broadcast at most."""
-    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-    pieces = cut(piece_ids(texts, vocabulary), "bpe-pieces")
-    short = pieces.where(F.octet_length("piece") <= MOST_PIECE_BYTES).orderBy(F.desc("n"), "piece").limit(most_pieces)
-    found = short.select("piece", "ids").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(_Frequent(found))
-    to_ids, to_rare = (lambda t: shared.value.ids(t)), (lambda t: shared.value.rare(t))
-    if pieces.count() == found.num_rows:
-        return texts.mapInArrow(_each_text(to_ids, "ids"), schema_of(texts, ["id"], "ids array<int>")).withColumnRenamed("id", id_col)
-    # Digests tell texts apart whichever task meets them; copies ask once.
-    keyed = texts.select(F.unhex(F.sha2("text", 256)).alias("key"), "id", "text")
-    gaps = keyed.select("key", "text").mapInArrow(_each_text(to_rare, "rare"), "key binary, rare array<string>").where(F.size("rare") > 0)
-    asked = gaps.groupBy("key").agg(F.first("rare").alias("rare")).select("key", F.posexplode("rare").alias("nth", "piece"))
-    told = asked.join(pieces.select("piece", F.col("ids").alias("one")), "piece")
-    home = told.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "one"))).alias("found"))
-    home = cut(home.select("key", F.transform("found", lambda x: x["one"]).alias("filling")), "bpe-gaps")
-    coded = keyed.mapInArrow(_each_text(to_ids, "ids"), schema_of(keyed, ["key", "id"], "ids array<int>"))
-    # Both sides are plain, so the copies of a text can be split.
-    filled = coded.join(home, "key", "left").select("id", "ids", F.coalesce("filling", F.array().cast("array<array<int>>")).alias("filling"))
-    return filled.mapInArrow(_fill, schema_of(texts, ["id"], "ids array<int>")).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(run, schema_of(texts, ["id"], "ids array<int>")).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY, ids_at_once: int = 1 << 20) -> DataFrame:
