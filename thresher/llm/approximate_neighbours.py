@@ -38,8 +38,8 @@ from .common import column, cut, table
 
 #: Projections are cut into two intervals; at most 2 ** MOST_PROJECTIONS buckets are put in a query's order.
 TABLES, INTERVALS, MOST_PROJECTIONS = 8, 2, 14
-#: Vectors that a bucket holds on average, and that a cell holds.
-IN_BUCKET, IN_CELL, MOST_GROUPS = 8, 8192, 256
+#: Vectors that a bucket holds on average, components that a side of a cell holds, groups of a table's buckets.
+IN_BUCKET, CELL_COMPONENTS, GROUPS = 8, 1 << 22, 4
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
@@ -50,7 +50,7 @@ class Index:
     axes: np.ndarray  # table, projection, component
     bounds: np.ndarray  # table, projection
     length2: float  # the squared length that vectors are brought to
-    groups: int = 1  # of a table's buckets, by their first digits
+    groups: int = GROUPS  # of a table's buckets, by their first digits
     follow: float = 0.0  # a neighbour's projection is about follow * the query's ...
     scatter: float = 1.0  # ... give or take scatter
     visited: int = 1
@@ -130,12 +130,11 @@ def _true_neighbours(distinct: DataFrame, queries: np.ndarray, size: int, k: int
 def _index(n: int, size: int, length2: float, rng: np.random.Generator) -> Index:
     """Projections for n vectors: buckets of IN_BUCKET on average, as long as a query can order them."""
     projections = min(MOST_PROJECTIONS, max(3, math.floor(math.log2(max(1, n))) - IN_BUCKET.bit_length() + 1))
-    groups = min(MOST_GROUPS, INTERVALS**projections, 1 << max(0, math.ceil(n / IN_CELL) - 1).bit_length())
     # Axes of one table at right angles tell more than independent ones.
     square = [np.linalg.qr(rng.standard_normal((size + 1, size + 1)))[0][:, : min(projections, size + 1)].T for _ in range(TABLES)]
     more = [rng.standard_normal((projections - len(a), size + 1)) / math.sqrt(size + 1) for a in square]
     axes = np.stack([np.concatenate(pair) for pair in zip(square, more, strict=True)])
-    return Index(axes, np.zeros(axes.shape[:2]), length2, groups, visited=INTERVALS**projections)
+    return Index(axes, np.zeros(axes.shape[:2]), length2, visited=INTERVALS**projections)
 
 
 def fit(distinct: DataFrame, asking: DataFrame, size: int, k: int, recall: float = 0.97, sample: int = 2000, probes: int = 64, seed: int = 5) -> Index:
@@ -296,17 +295,17 @@ def _by_id(group: dict, queries, vectors, base: np.ndarray, asked: np.ndarray, r
     return pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(vec[kept]), pa.array(score[kept])], names=["query_id", "vec_id", "score"])
 
 
-def _compared(rows: DataFrame, size: int, k: int, per_id: int, chunk: int) -> DataFrame:
+def _compared(rows: DataFrame, size: int, k: int, per_id: int) -> DataFrame:
     """query_id, rank, vec_id, score over rows of both sides."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = spread(rows, "key", "side", "ids", chunk)
+    cells = spread(rows, "key", "side", "ids", max(256, CELL_COMPONENTS // size))
     found = each_group(cells, "cell", ["side", "codes", "ids", "vector"], _cell(size, k, per_id), "query_id bigint, vec_id bigint, score double", parts)
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = IN_CELL) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query row.
 
     is_query is a condition on the column id.
@@ -327,7 +326,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     schema = f"key bigint, side int, codes array<int>, ids array<bigint>, vector {kind}"
     base = distinct.select("ids", "vector").mapInArrow(_base_rows(index, size), schema)
     asked = asking.select(F.array("id").alias("ids"), "vector")
-    ranked = cut(_compared(base.unionByName(asked.mapInArrow(_query_rows(index, size), schema)), size, k, per_id, chunk), "ranked")
+    ranked = cut(_compared(base.unionByName(asked.mapInArrow(_query_rows(index, size), schema)), size, k, per_id), "ranked")
     full = ranked.where(F.col("rank") == k).select("query_id")
     short = asking.join(full, asking["id"] == full["query_id"], "left_anti")
     if short.isEmpty():
@@ -336,7 +335,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     block = lambda rows, side: rows.select(
         F.lit(0).cast("long").alias("key"), F.lit(side).alias("side"), F.array(F.lit(0)).alias("codes"), "ids", "vector"
     )
-    rest = _compared(block(distinct, 0).unionByName(block(short.select(F.array("id").alias("ids"), "vector"), 1)), size, k, per_id, chunk)
+    rest = _compared(block(distinct, 0).unionByName(block(short.select(F.array("id").alias("ids"), "vector"), 1)), size, k, per_id)
     return ranked.join(full, "query_id", "left_semi").select(*rest.columns).unionByName(rest)
 
 
