@@ -2,7 +2,8 @@
 
 `spread` splits each group's two sides into chunks of bounded size, so that a group is a
 grid of (left chunk, right chunk) cells and no task ever holds a whole hot group.
-`each_group` runs a function over runs of equal keys in sorted partitions.
+`each_group` runs a function over runs of equal keys in sorted partitions; `links_of` does so
+for functions that give links, and hands on no more of them than connect a task's nodes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import forest
+
 
 def spread(rows: DataFrame, key: str, side: str, salt: str, chunk: int) -> DataFrame:
     """rows with `cell`, a long for (key, left chunk, right chunk).
@@ -37,12 +40,51 @@ def spread(rows: DataFrame, key: str, side: str, salt: str, chunk: int) -> DataF
     return grid.withColumn("cell", F.xxhash64(key, left, right)).drop("own", "other", "left_chunks", "right_chunks")
 
 
+Found = Iterator[pa.RecordBatch]
+
+
+def _links(found: Found, most: int = 1_000_000) -> Found:
+    """Batches a, b of links, joined to a spanning forest; at most `most` links wait."""
+    held, n = [], 0
+
+    def joined() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        a, b = forest(whole.column("a").to_numpy(), whole.column("b").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in found:
+        held.append(batch)
+        n += batch.num_rows
+        if n > most:
+            held = [joined()]
+            n = held[0].num_rows
+            if n > most // 2:
+                yield held[0]
+                held, n = [], 0
+    if held:
+        yield joined()
+
+
+def links_of(rows: DataFrame, cell: str, columns: Sequence[str], fn: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], parts: int) -> DataFrame:
+    """a, b: links between longs that connect what fn's links over the cells connect."""
+    return each_group(rows, cell, columns, fn, "a bigint, b bigint", parts, _links)
+
+
 def each_group(
-    rows: DataFrame, cell: str, columns: Sequence[str], fn: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], schema: str, parts: int
+    rows: DataFrame,
+    cell: str,
+    columns: Sequence[str],
+    fn: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None],
+    schema: str,
+    parts: int,
+    after: Callable[[Found], Found] = iter,
 ) -> DataFrame:
-    """fn over the columns of each run of equal cells, as numpy arrays; its batches are the result."""
+    """fn over the columns of each run of equal cells, as numpy arrays; its batches, or what `after` makes of a task's batches, are the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return after(found(batches))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)

@@ -22,6 +22,14 @@ def star_edges(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same nodes as a-b: each node but the first of a component, tied to the first."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = star_edges(len(nodes), at[: len(a)], at[len(a) :])
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[tied], nodes[root[tied]]
+
+
 def _towards_least(links: DataFrame, keep_higher: bool) -> DataFrame:
     """(u, v) rows: each v, and for the small star u as well, tied to the least of u's neighbours and u."""
     # Written before the join: then both sides are plain exchanges, and a hub's links can be split.

@@ -18,7 +18,8 @@ each component of links the sets of shingles themselves are compared, and pairs
 similar enough are the links of the result. A large component is a grid of bounded cells.
 
 Equal fingerprints are one point, so copies are never compared. A crowded anchor is a grid
-of bounded cells. Cells return spanning stars of what they link, not all pairs.
+of bounded cells. Cells return spanning stars of what they link, not all pairs, and a task
+hands on a spanning forest of what its cells return.
 
 Defined results: a null text has no words and so the fingerprint zero, which links like any
 other; a null id never names a component; repeated rows are separate rows with equal
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import each_group, spread
+from .blocks import links_of, spread
 from .common import column, cut, schema_of, slices, table
 from .graph import components, star_edges
 
@@ -219,7 +220,7 @@ def link(points: DataFrame, distance: int = 4, cover: Cover = EXACT, chunk: int
     schema = "key bigint, side int, node bigint, " + ", ".join(f"{w} bigint" for w in words)
     rows = points.select("node", *(f"w{k}" for k in range(cover.words))).mapInArrow(_replicas(cover), schema)
     cells = spread(rows, "key", "side", "node", chunk)
-    return each_group(cells, "cell", ["side", "node", *words], _compare(words, distance), "a bigint, b bigint", parts)
+    return links_of(cells, "cell", ["side", "node", *words], _compare(words, distance), parts)
 
 
 def near_duplicates(
@@ -335,7 +336,7 @@ def alike(
     grid = compared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     cells = grid.withColumn("cell", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = each_group(cells, "cell", ["node", "own", "hashes"], _verify(least), "a bigint, b bigint", parts)
+    links = links_of(cells, "cell", ["node", "own", "hashes"], _verify(least), parts)
     firsts = components(links).select(F.col("node").alias("tied"), F.col("root"))
     return sets.select("node").join(firsts, F.col("node") == F.col("tied"), "left").select("node", F.coalesce("root", "node").alias("root"))
 
