@@ -43,9 +43,9 @@ def test_meta_counts_equal_names(spark):
 def test_microdata_nests(spark):
     found, warnings = discovery.microdata(elements(_pages(spark, PAGE)))
     assert _found(found) == [
-        ("itemtype", "[itemscope]:eq(0)[itemtype]", "https://schema.org/Person"), ("name", '[itemscope]:eq(0)[itemprop="name"]:eq(0)', "Bob"),
-        ("alt", '[itemscope]:eq(0)[itemprop="alt"]:eq(0)', "Bob"), ("address", '[itemscope]:eq(0)[itemprop="address"]:eq(0)', "S 1"),
-        ("street", '[itemscope]:eq(0)[itemprop="address"]:eq(0)[itemprop="street"]:eq(0)', "S 1"),
+        ("itemtype", "[itemscope]:eq(0)[itemtype]", "https://schema.org/Person"), ("name", '[itemscope]:eq(0) [itemprop="name"]:eq(0)', "Bob"),
+        ("alt", '[itemscope]:eq(0) [itemprop="alt"]:eq(0)', "Bob"), ("address", '[itemscope]:eq(0) [itemprop="address"]:eq(0)', "S 1"),
+        ("street", '[itemscope]:eq(0) [itemprop="address"]:eq(0) [itemprop="street"]:eq(0)', "S 1"),
     ]
     assert [r["code"] for r in warnings.collect()] == ["MICRODATA_EMPTY_ITEMPROP"]
 
@@ -83,4 +83,4 @@ def test_microdata_nests_deeply(spark):
     page = '<div itemscope itemtype="https://schema.org/Thing">' + '<div itemprop="p" itemscope>' * deep + '<b itemprop="q">x</b>' + "</div>" * (deep + 1)
     found, _ = discovery.microdata(elements(_pages(spark, page)))
     row = found.where("key = 'q'").first()
-    assert row["path"] == "[itemscope]:eq(0)" + '[itemprop="p"]:eq(0)' * deep + '[itemprop="q"]:eq(0)' and row["vocabulary"] == "SCHEMA_ORG"
+    assert row["path"] == "[itemscope]:eq(0)" + ' [itemprop="p"]:eq(0)' * deep + ' [itemprop="q"]:eq(0)' and row["vocabulary"] == "SCHEMA_ORG"

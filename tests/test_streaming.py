@@ -7,8 +7,8 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
-    kinds = ["ENQUEUED", "STARTED", "RETRY_LATER", "STARTED", "ALLOWED", "COMPLETED", "EXCEPTION"]
-    rows = [(j, T0 + dt.timedelta(seconds=k), k, kinds[(j + k) % 7], "TIMEOUT", f"e{k}") for j in range(3) for k in range(9)]
+    kinds = ["ENQUEUED", "STARTED", "RETRY_LATER", "STARTED", "ALLOWED", "COMPLETED", "EXCEPTION", "RETRY_LATER", "FAILED", "PARSER_FAILED"]
+    rows = [(j, T0 + dt.timedelta(seconds=k), k, kinds[(j + k) % 10], "TIMEOUT" if k % 2 else None, f"e{k}" if k % 3 else None) for j in range(12) for k in range(9)]
     events = spark.createDataFrame(rows, "job_id long, ts timestamp, event_id long, kind string, reason string, error string")
     for n in (0, 1):
         events.where(f"event_id {'<' if n == 0 else '>='} 5").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
@@ -23,6 +23,19 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
     assert {k: tuple(v) for k, v in last.items()} == {k: tuple(v) for k, v in batch.items()}
 
 
+def test_lifecycle_keeps_and_clears(spark):
+    """A retry without a message keeps the last error; a failure has its own reason or none."""
+    step = lambda job, k, kind, reason, error: (job, T0 + dt.timedelta(seconds=k), k, kind, reason, error)
+    rows = [
+        step(1, 0, "RETRY_LATER", "TIMEOUT", "first"), step(1, 1, "RETRY_LATER", "RATE_LIMITED", None),
+        step(2, 0, "RETRY_LATER", "TIMEOUT", "first"), step(2, 1, "FAILED", None, "last"),
+        step(3, 0, "ALLOWED", None, None), step(3, 1, "FAILED", "FORBIDDEN", "refused"),
+    ]
+    events = spark.createDataFrame(rows, "job_id long, ts timestamp, event_id long, kind string, reason string, error string")
+    found = {r["job_id"]: (r["status"], r["last_access_reason"], r["last_error"]) for r in jobs.lifecycle(events).collect()}
+    assert found == {1: ("RETRY_SCHEDULED", "RATE_LIMITED", "first"), 2: ("FAILED_FINAL", None, "last"), 3: ("FAILED_FINAL", "FORBIDDEN", "refused")}
+
+
 def test_deduplication_by_window(spark, tmp_path):
     rows = [(1, "http://a.example/", T0), (2, "http://a.example/#x", T0 + dt.timedelta(seconds=5)), (3, "http://a.example/", T0 + dt.timedelta(seconds=31))]
     spark.createDataFrame(rows, "job_id long, url string, created_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))

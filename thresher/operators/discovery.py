@@ -103,6 +103,7 @@ def microdata(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, Dat
     """Item types and properties of every itemscope, and warnings for empty itemprops.
 
     Scope paths nest to any depth; each scope climbs at most as many levels as its page has scopes.
+    Every property has a path of its own, so none needs to be dropped as a duplicate.
     """
     attrs = F.col("attrs")
     names = _tokens(attrs["itemprop"])
@@ -117,7 +118,7 @@ def microdata(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, Dat
     scopes = scopes.join(placed.select(key, "ord", F.col("name").alias("first"), "index"), [key, "ord", "first"], "left")
     own = F.concat(F.lit("[itemscope]:eq("), F.col("number").cast("string"), F.lit(")"))
     nested = F.col("scope").isNotNull() & F.col("first").isNotNull()
-    step = F.concat(F.lit('[itemprop="'), t.escape_attribute(F.col("first")), F.lit('"]:eq('), F.coalesce("index", F.lit(0)).cast("string"), F.lit(")"))
+    step = F.concat(F.lit(' [itemprop="'), t.escape_attribute(F.col("first")), F.lit('"]:eq('), F.coalesce("index", F.lit(0)).cast("string"), F.lit(")"))
     org = lambda x: F.when(F.lower(x).contains("schema.org"), "SCHEMA_ORG").otherwise("OTHER")
     typed = F.when(F.col("itemtype") != "", org(F.col("itemtype")))
     # A page's scopes fit in an array; each looks up its ancestors there.
@@ -151,7 +152,7 @@ def microdata(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, Dat
     )
     valued = owned.withColumn("text", t.collapse(raw)).where("text <> ''").select(key, "scope", "ord", "text", F.posexplode("names").alias("nth", "name"))
     seen = F.row_number().over(Window.partitionBy(key, "scope", "name").orderBy("ord", "nth")) - 1
-    path = F.concat("scope_path", F.lit('[itemprop="'), t.escape_attribute(F.col("name")), F.lit('"]:eq('), F.col("seen").cast("string"), F.lit(")"))
+    path = F.concat("scope_path", F.lit(' [itemprop="'), t.escape_attribute(F.col("name")), F.lit('"]:eq('), F.col("seen").cast("string"), F.lit(")"))
     prop_rows = valued.withColumn("seen", seen).join(paths, [key, "scope"]).select(
         key, "scope", "ord", "nth", "name", path.alias("path"), string_value(F.col("text")).alias("value"), F.col("words").alias("vocabulary")
     )

@@ -81,13 +81,14 @@ def lifecycle(events: DataFrame) -> DataFrame:
 
     Transitions don't look at the status before, so the status is that of the last event,
     counters are counts, and reason and error are those of the last event that sets or
-    clears them.
+    clears them. A retry without a message keeps the error before; a failure takes its own
+    reason, and clears the reason if it has none.
     """
     order = F.struct("ts", "event_id")
     status = F.create_map(*(F.lit(x) for pair in TRANSITIONS.items() for x in pair))[F.col("kind")]
-    sets_reason = F.col("kind").isin("RETRY_LATER", "USER_ACTION", "DENIED")
+    sets_reason = F.col("kind").isin("RETRY_LATER", "USER_ACTION", "DENIED", "FAILED")
     clears_reason = F.col("kind").isin("ALLOWED", "COMPLETED", "EXCEPTION")
-    sets_error = sets_reason | F.col("kind").isin("PARSER_FAILED", "EXCEPTION", "FAILED")
+    sets_error = F.col("kind").isin("USER_ACTION", "DENIED", "PARSER_FAILED", "EXCEPTION", "FAILED") | ((F.col("kind") == "RETRY_LATER") & F.col("error").isNotNull())
     clears_error = F.col("kind").isin("ALLOWED", "COMPLETED")
     last = lambda sets, clears, x: F.max_by(F.struct(F.when(sets, x).alias("x")), F.when(sets | clears, order))["x"]
     return events.groupBy("job_id").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import http
 from ..functions.text import snippet, trim
 from ..functions.values import shown
-from .discovery import EXTRACTORS, _properties, _warnings
+from .discovery import _properties, _warnings
 from .flatten import Walk, flatten
 
 MAX_RESPONSES, MAX_BODY, MAX_TOTAL = 200, 1_048_576, 4_194_304
@@ -38,7 +38,7 @@ def greedy_budget(sizes: Column, budget: int) -> Column:
 
 
 def within_budget(responses: DataFrame, key: str = "job_id", most: int = MAX_BODY, total: int = MAX_TOTAL) -> DataFrame:
-    """responses (key, sequence, body_bytes, ...) with taken: whether the body is small enough and the job's budget still holds it.
+    """responses (key, sequence, body_bytes, ...) with taken: whether the body is small enough and the job's budget still holds it. Null bytes: no body, not taken.
 
     Sizes of a job meet in one array: at most MAX_RESPONSES of them, as later ones are out anyway.
     """
@@ -74,9 +74,12 @@ def capture(responses: DataFrame, key: str = "job_id") -> DataFrame:
 
 
 def network_properties(responses: DataFrame, key: str = "job_id") -> tuple[DataFrame, DataFrame]:
-    """Properties of the JSON bodies of responses (key, id, sequence, body), and warnings."""
-    held = responses.where(F.coalesce(trim(F.col("body")), F.lit("")) != "").withColumn("body_bytes", F.octet_length("body"))
-    told = within_budget(held, key)
+    """Properties of the JSON bodies of responses (key, id, sequence, body), and warnings.
+
+    The first MAX_RESPONSES are inspected, those without a body among them, which have nothing to take.
+    """
+    some = F.coalesce(trim(F.col("body")), F.lit("")) != ""
+    told = within_budget(responses.withColumn("body_bytes", F.when(some, F.octet_length("body"))), key)
     ready = told.where("taken").select(key, "id", "sequence", strip_guards(F.col("body")).alias("body")).where(looks_like_json(F.col("body")))
     flat = flatten(ready, "body", [key, "id", "sequence"], WALK)
     order = Window.partitionBy(key).orderBy("sequence", "leaf_ord")
@@ -88,10 +91,9 @@ def network_properties(responses: DataFrame, key: str = "job_id") -> tuple[DataF
     code = F.when(F.col("warning") == "PROPERTY_LIMIT_REACHED", "RESPONSE_PROPERTY_LIMIT_REACHED").otherwise(F.col("warning"))
     warned = _warnings(flat.where("warning is not null"), key, "network", F.concat(F.lit("NETWORK_"), code))
     many = _warnings(counted.where(F.col("nth") == MAX_ALL_PROPERTIES + 1), key, "network", F.lit("NETWORK_TOTAL_PROPERTY_LIMIT_REACHED"))
-    large = _warnings(told.where(F.col("body_bytes") > MAX_BODY), key, "network", F.lit("NETWORK_BODY_TOO_LARGE"))
+    large = _warnings(told.where((F.col("body_bytes") > MAX_BODY) & (F.col("nth") <= MAX_RESPONSES)), key, "network", F.lit("NETWORK_BODY_TOO_LARGE"))
     spent = told.where(~F.col("taken") & (F.col("body_bytes") <= MAX_BODY) & (F.col("nth") <= MAX_RESPONSES)).select(key).distinct()
     extra = told.where(F.col("nth") == MAX_RESPONSES + 1)
     warnings = warned.unionByName(many).unionByName(large).unionByName(_warnings(spent, key, "network", F.lit("NETWORK_TOTAL_BODY_BUDGET_REACHED")))
     warnings = warnings.unionByName(_warnings(extra, key, "network", F.lit("NETWORK_RESPONSE_LIMIT_REACHED")))
-    assert EXTRACTORS["network"] == 4
     return _properties(rows, key, "network", "NETWORK", ["sequence", "leaf_ord"]), warnings

@@ -68,13 +68,15 @@ def S6_base_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event asks for one of 50 pages."""
-    pages = _read(spark, sf_dir, "pages").where("page_id < 50").select(F.col("page_id").alias("p"), "url")
-    asked = _read(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_id") % 50).alias("p"))
-    return asked.join(F.broadcast(pages), "p").select("job_id", "url", "created_at")
+    """Every event asks for a page: the ids' remainders by the number of pages agree."""
+    pages = _read(spark, sf_dir, "pages")
+    n = F.lit(max(1, pages.count()))
+    asked = _read(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_id") % n).alias("p"))
+    return asked.join(pages.select((F.col("page_id") % n).alias("p"), "url"), "p").select("job_id", "url", "created_at")
 
 
-_REQUESTS = f"""WITH r AS (SELECT e.event_id AS job_id, p.url, e.ts AS created_at FROM events e JOIN pages p ON p.page_id = e.event_id % 50 AND p.page_id < 50),
+_REQUESTS = f"""WITH n AS (SELECT count(*) AS n FROM pages),
+r AS (SELECT e.event_id AS job_id, p.url, e.ts AS created_at FROM n, events e JOIN pages p ON p.page_id % n.n = e.event_id % n.n),
 k AS (SELECT *, {_IDENTITY} || ':window:' || CAST(epoch_us(created_at) // 30000000 AS BIGINT) AS dedup_key FROM r)"""
 
 
@@ -229,29 +231,46 @@ def _with_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.array("c_mktsegment", F.lit("x")).alias("tags")))
     html = F.concat(
         F.lit('<html><head><script type="application/ld+json">'), c, F.lit('</script></head><body><div itemscope itemtype="https://schema.org/Person"><span itemprop="name">'), "c_name",
-        F.lit('</span><span itemprop="segment group">'), "c_mktsegment", F.lit("</span></div></body></html>"),
+        F.lit('</span><span itemprop="segment group">'), "c_mktsegment", F.lit("</span>" + '<div itemprop="part" itemscope>' * 13 + '<b itemprop="leaf">'), "c_mktsegment",
+        F.lit("</b>" + "</div>" * 14 + "</body></html>"),
     )
     return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
 
 
 @query(
-    """SELECT c_custkey AS page_id, u.key, u.path, u.text, 'SCHEMA_ORG' AS vocabulary FROM customer, LATERAL (VALUES ('@context', '$["@context"]', 'https://schema.org'),
-  ('name', '$.name', c_name), ('tags', '$.tags', c_mktsegment || '|x')) AS u(key, path, text)"""
+    """SELECT c_custkey AS page_id, u.key, u.path, u.text, u.n, 'SCHEMA_ORG' AS vocabulary FROM customer, LATERAL (VALUES ('@context', '$["@context"]', 'https://schema.org', NULL),
+  ('name', '$.name', c_name, NULL), ('balance', '$.balance', NULL, c_acctbal), ('tags', '$.tags', c_mktsegment || '|x', NULL)) AS u(key, path, text, n)"""
 )
 def X1_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = discovery.json_ld(elements(_with_markup(spark, sf_dir)))
     v = F.col("value")
-    return found.where("key <> 'balance'").select("page_id", "key", "path", F.coalesce(v["s"], F.array_join(v["a"], "|")).alias("text"), "vocabulary")
+    return found.select("page_id", "key", "path", F.coalesce(v["s"], F.array_join(v["a"], "|")).alias("text"), v["n"].alias("n"), "vocabulary")
 
 
 @query(
-    """SELECT c_custkey AS page_id, u.key, u.path, u.text FROM customer, LATERAL (VALUES ('itemtype', '[itemscope]:eq(0)[itemtype]', 'https://schema.org/Person'),
-  ('name', '[itemscope]:eq(0)[itemprop="name"]:eq(0)', c_name), ('segment', '[itemscope]:eq(0)[itemprop="segment"]:eq(0)', c_mktsegment),
-  ('group', '[itemscope]:eq(0)[itemprop="group"]:eq(0)', c_mktsegment)) AS u(key, path, text)"""
+    """SELECT c_custkey AS page_id, u.key, u.path, u.text, 'SCHEMA_ORG' AS vocabulary FROM customer, LATERAL (VALUES ('itemtype', '[itemscope]:eq(0)[itemtype]', 'https://schema.org/Person'),
+  ('name', '[itemscope]:eq(0) [itemprop="name"]:eq(0)', c_name), ('segment', '[itemscope]:eq(0) [itemprop="segment"]:eq(0)', c_mktsegment),
+  ('group', '[itemscope]:eq(0) [itemprop="group"]:eq(0)', c_mktsegment),
+  ('leaf', '[itemscope]:eq(0)' || repeat(' [itemprop="part"]:eq(0)', 13) || ' [itemprop="leaf"]:eq(0)', c_mktsegment)) AS u(key, path, text)
+UNION ALL SELECT c_custkey, 'part', '[itemscope]:eq(0)' || repeat(' [itemprop="part"]:eq(0)', i), c_mktsegment, 'SCHEMA_ORG' FROM customer, range(1, 14) AS t(i)"""
 )
 def X9_microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirteen scopes nest in each other."""
     found, _ = discovery.microdata(elements(_with_markup(spark, sf_dir)))
-    return found.select("page_id", "key", "path", F.col("value.s").alias("text"))
+    return found.select("page_id", "key", "path", F.col("value.s").alias("text"), "vocabulary")
+
+
+@query(
+    """SELECT job_id, CAST(event_id AS VARCHAR) AS source_ref, '$.k' AS path, CAST(props->>'$.k' AS DOUBLE) AS n, many FROM (SELECT event_id % 20 AS job_id, event_id, props,
+  row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) AS s, count(*) OVER (PARTITION BY event_id % 20) > 200 AS many FROM events) WHERE s <= 200 AND event_id % 3 > 0"""
+)
+def N1_response_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty jobs, most with more responses than are inspected; every third has a blank body."""
+    e = jobs.numbered(_read(spark, sf_dir, "events").withColumn("job_id", F.col("event_id") % 20), "job_id", "event_id")
+    body = F.when(F.col("event_id") % 3 > 0, F.col("props")).when(F.col("event_id") % 6 == 0, " ")
+    found, warnings = network.network_properties(e.select("job_id", F.col("event_id").cast("string").alias("id"), "sequence", body.alias("body")))
+    many = warnings.where("code = 'NETWORK_RESPONSE_LIMIT_REACHED'").select("job_id", F.lit(True).alias("many"))
+    return found.join(many, "job_id", "left").select("job_id", "source_ref", "path", F.col("value.n").alias("n"), F.coalesce("many", F.lit(False)).alias("many"))
 
 
 @query("""SELECT user_id AS job_id, CAST(event_id AS VARCHAR) AS source_ref, 'k' AS key, '$.k' AS path, CAST(props->>'$.k' AS DOUBLE) AS n
@@ -503,19 +522,23 @@ def T5_domain_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- lifecycle ---------------------------------------------------------------------------
 
-_EVENT_KINDS = {"view": "STARTED", "error": "RETRY_LATER", "click": "ALLOWED", "signup": "EXCEPTION", "purchase": "COMPLETED"}
-
-
 def _lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.create_map(*(F.lit(x) for pair in _EVENT_KINDS.items() for x in pair))[F.col("event_type")]
-    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"), F.lit("RATE_LIMITED").alias("reason"), F.col("props").alias("error"))
+    """Events as steps of the user's job; every third retry has no message, half of the failures have a reason."""
+    i, event = F.col("event_id"), F.col("event_type")
+    ended = F.when(i % 2 == 1, "FAILED").otherwise("COMPLETED")
+    kind = F.when(event == "view", "STARTED").when(event == "error", "RETRY_LATER").when(event == "click", "ALLOWED").when(event == "signup", "EXCEPTION").otherwise(ended)
+    reason = F.when(event == "error", "RATE_LIMITED").when((event == "purchase") & (i % 4 == 1), "TIMEOUT")
+    error = F.when((event != "error") | (i % 3 > 0), F.col("props"))
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"), reason.alias("reason"), error.alias("error"))
 
 
-_LIFECYCLE = """SELECT user_id AS job_id, arg_max(CASE event_type WHEN 'view' THEN 'PROCESSING' WHEN 'error' THEN 'RETRY_SCHEDULED' WHEN 'click' THEN 'READY_FOR_PARSING' WHEN 'signup' THEN 'RETRYING' ELSE 'SUCCESS' END, struct_pack(a := ts, b := event_id)) AS status,
-  count(*) FILTER (event_type = 'view') AS attempt, count(*) FILTER (event_type = 'error') AS deferred_retry_count,
-  CASE WHEN arg_max(event_type, struct_pack(a := ts, b := event_id)) FILTER (event_type <> 'view') = 'error' THEN 'RATE_LIMITED' END AS last_access_reason,
-  CASE WHEN arg_max(event_type, struct_pack(a := ts, b := event_id)) FILTER (event_type <> 'view') IN ('error', 'signup') THEN arg_max(props, struct_pack(a := ts, b := event_id)) FILTER (event_type <> 'view') END AS last_error
-FROM events GROUP BY 1"""
+_LIFECYCLE = """SELECT user_id AS job_id, arg_max(CASE k WHEN 'STARTED' THEN 'PROCESSING' WHEN 'RETRY_LATER' THEN 'RETRY_SCHEDULED' WHEN 'ALLOWED' THEN 'READY_FOR_PARSING' WHEN 'EXCEPTION' THEN 'RETRYING'
+    WHEN 'FAILED' THEN 'FAILED_FINAL' ELSE 'SUCCESS' END, o) AS status,
+  count(*) FILTER (k = 'STARTED') AS attempt, count(*) FILTER (k = 'RETRY_LATER') AS deferred_retry_count,
+  (arg_max(struct_pack(x := CASE WHEN k = 'RETRY_LATER' THEN 'RATE_LIMITED' WHEN k = 'FAILED' AND event_id % 4 = 1 THEN 'TIMEOUT' END), o) FILTER (k <> 'STARTED')).x AS last_access_reason,
+  (arg_max(struct_pack(x := CASE WHEN k IN ('RETRY_LATER', 'EXCEPTION', 'FAILED') THEN props END), o) FILTER (k <> 'STARTED' AND (k <> 'RETRY_LATER' OR event_id % 3 > 0))).x AS last_error
+FROM (SELECT *, struct_pack(a := ts, b := event_id) AS o, CASE event_type WHEN 'view' THEN 'STARTED' WHEN 'error' THEN 'RETRY_LATER' WHEN 'click' THEN 'ALLOWED' WHEN 'signup' THEN 'EXCEPTION'
+  ELSE CASE WHEN event_id % 2 = 1 THEN 'FAILED' ELSE 'COMPLETED' END END AS k FROM events) GROUP BY 1"""
 
 
 @query(_LIFECYCLE)
@@ -523,7 +546,7 @@ def T10_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.lifecycle(_lifecycle_events(spark, sf_dir)).drop("updated_at")
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (status = 'SUCCESS') AS handled, count(*) FILTER (status <> 'SUCCESS') AS pending FROM ({_LIFECYCLE})")
+@query(f"SELECT count(*) AS total, count(*) FILTER (status IN ('SUCCESS', 'FAILED_FINAL')) AS handled, count(*) FILTER (status NOT IN ('SUCCESS', 'FAILED_FINAL')) AS pending FROM ({_LIFECYCLE})")
 def G8_queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.queue_stats(jobs.lifecycle(_lifecycle_events(spark, sf_dir)))
 

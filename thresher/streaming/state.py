@@ -35,13 +35,15 @@ def lifecycle(events: DataFrame) -> DataFrame:
             status = TRANSITIONS.get(e.kind, status)
             attempt += e.kind == "STARTED"
             deferred += e.kind == "RETRY_LATER"
-            if e.kind in ("RETRY_LATER", "USER_ACTION", "DENIED"):
+            if e.kind in ("USER_ACTION", "DENIED", "FAILED"):
                 reason, error = e.reason, e.error
+            elif e.kind == "RETRY_LATER":
+                reason, error = e.reason, error if e.error is None else e.error
             elif e.kind in ("ALLOWED", "COMPLETED"):
                 reason = error = None
             elif e.kind == "EXCEPTION":
                 reason, error = None, e.error
-            elif e.kind in ("PARSER_FAILED", "FAILED"):
+            elif e.kind == "PARSER_FAILED":
                 error = e.error
             at = e.ts
         state.update((status, int(attempt), int(deferred), reason, error, at))
