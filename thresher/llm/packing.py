@@ -13,30 +13,59 @@ the input are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import column, cut, schema_of, slices, table
-from .pieces import PieceTable
+from .pieces import PATTERN, PieceTable
 
 CLOSING_ID = 1
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 _TABLES: dict[str, PieceTable] = {}
 
 
+def _ranks(path: str, tokenizer: Tokenizer) -> dict[bytes, int] | None:
+    """The vocabulary as ranked byte strings, if merging by rank whatever makes a token gives the tokenizer's ids.
+
+    It does if merges stand in the order of their ids and every token, alone, is encoded as
+    itself: two tokens that make a third are then what its own merges leave last, as no
+    merge reached across its ends, and so they are a listed merge.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    vocabulary = {t: k for t, k in model["vocab"].items() if all(c in byte_of for c in t)}
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    alone = all([x.id for x in tokenizer.model.tokenize(t)] == [k] for t, k in vocabulary.items())
+    if merged != sorted(merged) or model.get("dropout") or model.get("unk_token") or not alone:
+        return None
+    return {bytes(byte_of[c] for c in t): k for t, k in vocabulary.items()}
+
+
 def _encoder(path: str) -> PieceTable:
-    """One for each worker process, which Spark uses again for later tasks."""
+    """One for each worker process, which Spark uses again for later tasks.
+
+    Where both give the same ids, tiktoken takes fewer seconds for single pieces than tokenizers.
+    """
     if path not in _TABLES:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _TABLES[path] = PieceTable(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        if ranks := _ranks(path, tokenizer):
+            same = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _TABLES[path] = PieceTable(lambda new: [same.encode_ordinary(p) for p in new])
+        else:
+            _TABLES[path] = PieceTable(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
     return _TABLES[path]
 
 
