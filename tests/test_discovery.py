@@ -1,6 +1,9 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from thresher.operators import discovery
+from thresher.operators import discovery, network
 from thresher.sources.elements import element_rows, elements
 
 PAGE = """<html><head><title> Hi  there </title><meta property="og:title" content="A"><meta name="x" content=" b  c "><meta property="og:title" content="B">
@@ -84,3 +87,30 @@ def test_microdata_nests_deeply(spark):
     found, _ = discovery.microdata(elements(_pages(spark, page)))
     row = found.where("key = 'q'").first()
     assert row["path"] == "[itemscope]:eq(0)" + ' [itemprop="p"]:eq(0)' * deep + ' [itemprop="q"]:eq(0)' and row["vocabulary"] == "SCHEMA_ORG"
+
+
+def test_nested_tags_take_linear_time():
+    start = time.perf_counter()
+    rows = element_rows("<div>t " * 7000 + "</div>" * 7000)
+    assert len(rows) == 7003 and rows[-1]["text"] == "t" and rows[3]["text_len"] == 13_999
+    assert time.perf_counter() - start < 5
+
+
+def test_text_is_collapsed_across_elements():
+    rows = {r["tag"]: r["text"] for r in element_rows("<p> a <b> b</b> <i>c </i>d\n</p><q> </q>")}
+    assert (rows["p"], rows["b"], rows["i"], rows["q"]) == ("a b c d", "b", "c", "")
+
+
+@pytest.mark.parametrize("bad", [0, -1, 1.5, True, None, 2**53])
+def test_limits_are_positive_safe_integers(bad):
+    with pytest.raises(ValueError, match="nodes"):
+        network.Limits(nodes=bad)
+
+
+def test_limits_of_responses_warn(spark):
+    bodies = [(1, "a", 0, '{"x": 1, "y": 2}'), (1, "b", 1, '{"z": [{"deep": {"er": 5}}]}'), (1, "c", 2, "{bad"), (2, "d", 0, '{"q": "long text"}'), (3, "e", 0, None)]
+    responses = spark.createDataFrame(bodies, "job_id long, id string, sequence int, body string")
+    found, warnings = network.network_properties(responses, limits=network.Limits(responses=2, all_properties=1, string=4))
+    assert [(r["job_id"], r["path"]) for r in found.collect()] == [(1, "$.x")]
+    codes = {(r["job_id"], r["code"]) for r in warnings.collect()}
+    assert codes == {(1, "NETWORK_TOTAL_PROPERTY_LIMIT_REACHED"), (1, "NETWORK_RESPONSE_LIMIT_REACHED"), (2, "NETWORK_STRING_TOO_LARGE")}

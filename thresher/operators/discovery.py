@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.values import string_value, value
+from ..functions.values import number_text, string_value, value
 from ..sources.staging import stage
 from .flatten import Walk, flatten
 
@@ -35,7 +35,7 @@ NO_PAIR_PARENTS = "dl table thead tbody tfoot tr ul ol nav form".split()
 NO_LABEL_TAGS = "button a input textarea select label dt th h1 h2 h3 h4 h5 h6".split()
 
 
-def _properties(rows: DataFrame, key: str, extractor: str, source: str, order: list) -> DataFrame:
+def property_rows(rows: DataFrame, key: str, extractor: str, source: str, order: list) -> DataFrame:
     """PROPERTY columns of rows that have name, path, value, vocabulary, snippet and perhaps source_ref."""
     ordered = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
     ref = F.col("source_ref") if "source_ref" in rows.columns else F.lit(None).cast("string")
@@ -45,14 +45,12 @@ def _properties(rows: DataFrame, key: str, extractor: str, source: str, order: l
     )
 
 
-def _warnings(rows: DataFrame, key: str, extractor: str, code: Column) -> DataFrame:
+def warning_rows(rows: DataFrame, key: str, extractor: str, code: Column) -> DataFrame:
     return rows.select(key, F.lit(EXTRACTORS[extractor]).alias("ext_ord"), F.lit(extractor).alias("extractor_id"), code.alias("code"))
 
 
 def shown_value(v: Column) -> Column:
     """A leaf as the snippet shows it: arrays joined, white space collapsed."""
-    from ..functions.values import number_text
-
     text = (
         F.when(v["kind"] == "string", v["s"]).when(v["kind"] == "number", number_text(v["n"])).when(v["kind"] == "boolean", v["b"].cast("string"))
         .when(v["kind"] == "array", F.array_join(v["a"], ", ")).otherwise("null")
@@ -68,9 +66,9 @@ def json_ld(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataF
     rows = flat.where("path is not null").select(
         key, "ord", "leaf_ord", F.col("leaf_key").alias("name"), "path", "value", "vocabulary", shown_value(F.col("value")).alias("snippet")
     )
-    bad = _warnings(flat.where("warning is not null"), key, "json-ld", F.lit("JSON_LD_PARSE_ERROR"))
-    large = _warnings(blocks.where(~fits), key, "json-ld", F.lit("JSON_LD_SCRIPT_TOO_LARGE"))
-    return _properties(rows, key, "json-ld", "JSON_LD", ["ord", "leaf_ord"]), bad.unionByName(large)
+    bad = warning_rows(flat.where("warning is not null"), key, "json-ld", F.lit("JSON_LD_PARSE_ERROR"))
+    large = warning_rows(blocks.where(~fits), key, "json-ld", F.lit("JSON_LD_SCRIPT_TOO_LARGE"))
+    return property_rows(rows, key, "json-ld", "JSON_LD", ["ord", "leaf_ord"]), bad.unionByName(large)
 
 
 def meta_vocabulary(name: Column) -> Column:
@@ -92,7 +90,7 @@ def meta(elements: DataFrame, key: str = "page_id") -> DataFrame:
     path = F.concat(F.lit("meta["), "by", F.lit('="'), "name", F.lit('"]:eq('), nth.cast("string"), F.lit(")"))
     tags = tags.select(key, "ord", "name", path.alias("path"), "content", meta_vocabulary(F.col("name")).alias("vocabulary"))
     rows = titles.unionByName(tags).withColumn("value", string_value(F.col("content"))).withColumn("snippet", t.snippet(F.col("content")))
-    return _properties(rows, key, "meta", "META", ["ord"])
+    return property_rows(rows, key, "meta", "META", ["ord"])
 
 
 def _tokens(x: Column) -> Column:
@@ -157,8 +155,8 @@ def microdata(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, Dat
         key, "scope", "ord", "nth", "name", path.alias("path"), string_value(F.col("text")).alias("value"), F.col("words").alias("vocabulary")
     )
     rows = type_rows.unionByName(prop_rows).withColumn("snippet", shown_value(F.col("value")))
-    empty = _warnings(owned.where(F.size("names") == 0), key, "microdata", F.lit("MICRODATA_EMPTY_ITEMPROP"))
-    return _properties(rows, key, "microdata", "MICRODATA", ["scope", "ord", "nth"]), empty
+    empty = warning_rows(owned.where(F.size("names") == 0), key, "microdata", F.lit("MICRODATA_EMPTY_ITEMPROP"))
+    return property_rows(rows, key, "microdata", "MICRODATA", ["scope", "ord", "nth"]), empty
 
 
 def best_class(classes: Column) -> Column:
@@ -312,7 +310,7 @@ def dom(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame
     found = reduce(DataFrame.unionByName, candidates)
     found = stage(found.where((F.col("text") != "") & F.col("name").isNotNull()), "dom-candidates")
     found = found.where(t.is_semantic(F.col("name"))).withColumn("name", t.normalize_key(F.col("name")))
-    long = _warnings(found.where(F.length("text") > MAX_VALUE).select(key).distinct(), key, "dom", F.lit("DOM_VALUE_LIMIT_SKIPPED"))
+    long = warning_rows(found.where(F.length("text") > MAX_VALUE).select(key).distinct(), key, "dom", F.lit("DOM_VALUE_LIMIT_SKIPPED"))
     placed = found.where(F.length("text") <= MAX_VALUE).withColumn("path", css_path(F.col("chain"), F.col("class_counts"))).drop("chain", "class_counts")
     # Equal path and value: the strongest evidence, in the place of the first.
     met = ["from_ord", "rule", "ord", "nth"]
@@ -321,12 +319,12 @@ def dom(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame
     placed = placed.withColumns({"first": F.min(F.struct(*met)).over(same), "place": strongest}).where("place = 1 and path <> ''")
     top = placed.withColumn("nth_best", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("rank"), "first")))
     kept = top.where(F.col("nth_best") <= MAX_PROPERTIES)
-    many = _warnings(top.where(F.col("nth_best") == MAX_PROPERTIES + 1), key, "dom", F.lit("DOM_PROPERTY_LIMIT_REACHED"))
-    large = _warnings(elements.where(F.col("body_ord") == MAX_ELEMENTS), key, "dom", F.lit("DOM_ELEMENT_LIMIT_REACHED"))
+    many = warning_rows(top.where(F.col("nth_best") == MAX_PROPERTIES + 1), key, "dom", F.lit("DOM_PROPERTY_LIMIT_REACHED"))
+    large = warning_rows(elements.where(F.col("body_ord") == MAX_ELEMENTS), key, "dom", F.lit("DOM_ELEMENT_LIMIT_REACHED"))
     rows = kept.select(
         key, "nth_best", "name", "path", string_value(F.col("text")).alias("value"), F.lit("OTHER").alias("vocabulary"), t.snippet(F.col("text")).alias("snippet")
     )
-    return _properties(rows, key, "dom", "DOM", ["nth_best"]), long.unionByName(many).unionByName(large)
+    return property_rows(rows, key, "dom", "DOM", ["nth_best"]), long.unionByName(many).unionByName(large)
 
 
 def discover(elements: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:

@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import http
 from ..functions.text import snippet, trim
 from ..functions.values import shown
-from .discovery import _properties, _warnings
+from .discovery import property_rows, warning_rows
 from .flatten import Walk, flatten
 
+# Limits of the scan, and guards against script inclusion.
 MAX_RESPONSES, MAX_BODY, MAX_TOTAL = 200, 1_048_576, 4_194_304
-MAX_PROPERTIES, MAX_ALL_PROPERTIES = 1_500, 5_000
-WALK = Walk(nulls=False, blanks=False, vocabulary=False, max_depth=40, max_nodes=20_000, max_items=1_000, max_string=20_000, max_leaves=MAX_PROPERTIES)
 GUARDS = r"^(?:\s*(?:\)\]\}',?|while\s*\(\s*(?:1|true)\s*\)\s*;|for\s*\(\s*;\s*;\s*\)\s*;)){0,8}\s*"
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a job's responses is inspected. Every limit is a positive integer that a double holds exactly; others raise a ValueError."""
+
+    responses: int = MAX_RESPONSES
+    body_bytes: int = MAX_BODY
+    total_bytes: int = MAX_TOTAL
+    properties: int = 1_500
+    all_properties: int = 5_000
+    depth: int = 40
+    nodes: int = 20_000
+    items: int = 1_000
+    string: int = 20_000
+
+    def __post_init__(self):
+        for name, x in asdict(self).items():
+            if isinstance(x, bool) or not isinstance(x, int) or not 0 < x < 2**53:
+                raise ValueError(f"{name} must be a positive safe integer, not {x!r}")
+
+    def walk(self) -> Walk:
+        return Walk(
+            nulls=False, blanks=False, vocabulary=False, max_depth=self.depth, max_nodes=self.nodes, max_items=self.items, max_string=self.string, max_leaves=self.properties
+        )
+
+
 def strip_guards(body: Column) -> Column:
     """Without a byte order mark and up to eight guards against script inclusion."""
     return trim(F.regexp_replace(F.regexp_replace(body, "^\\x{FEFF}", ""), GUARDS, ""))
@@ -37,13 +63,13 @@ def greedy_budget(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, start, step, lambda s: s["fits"])
 
 
-def within_budget(responses: DataFrame, key: str = "job_id", most: int = MAX_BODY, total: int = MAX_TOTAL) -> DataFrame:
+def within_budget(responses: DataFrame, key: str = "job_id", most: int = MAX_BODY, total: int = MAX_TOTAL, count: int = MAX_RESPONSES) -> DataFrame:
     """responses (key, sequence, body_bytes, ...) with taken: whether the body is small enough and the job's budget still holds it. Null bytes: no body, not taken.
 
-    Sizes of a job meet in one array: at most MAX_RESPONSES of them, as later ones are out anyway.
+    Sizes of a job meet in one array: at most count of them, as later ones are out anyway.
     """
     first = responses.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("sequence")))
-    small = first.where((F.col("nth") <= MAX_RESPONSES) & (F.col("body_bytes") <= most))
+    small = first.where((F.col("nth") <= count) & (F.col("body_bytes") <= most))
     per = small.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", F.col("body_bytes").cast("bigint").alias("size")))).alias("held"))
     fits = greedy_budget(F.transform("held", lambda h: h["size"]), total)
     taken = per.select(key, F.inline(F.arrays_zip(F.transform("held", lambda h: h["nth"]).alias("nth"), fits.alias("taken"))))
@@ -73,27 +99,27 @@ def capture(responses: DataFrame, key: str = "job_id") -> DataFrame:
     return told.withColumns({"body": body, "headers": http.redact_headers(F.col("headers"))}).drop("early", "nth", "taken")
 
 
-def network_properties(responses: DataFrame, key: str = "job_id") -> tuple[DataFrame, DataFrame]:
+def network_properties(responses: DataFrame, key: str = "job_id", limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Properties of the JSON bodies of responses (key, id, sequence, body), and warnings.
 
-    The first MAX_RESPONSES are inspected, those without a body among them, which have nothing to take.
+    The first limits.responses are inspected, those without a body among them, which have nothing to take.
     """
     some = F.coalesce(trim(F.col("body")), F.lit("")) != ""
-    told = within_budget(responses.withColumn("body_bytes", F.when(some, F.octet_length("body"))), key)
+    told = within_budget(responses.withColumn("body_bytes", F.when(some, F.octet_length("body"))), key, limits.body_bytes, limits.total_bytes, limits.responses)
     ready = told.where("taken").select(key, "id", "sequence", strip_guards(F.col("body")).alias("body")).where(looks_like_json(F.col("body")))
-    flat = flatten(ready, "body", [key, "id", "sequence"], WALK)
+    flat = flatten(ready, "body", [key, "id", "sequence"], limits.walk())
     order = Window.partitionBy(key).orderBy("sequence", "leaf_ord")
     counted = flat.where("path is not null").withColumn("nth", F.row_number().over(order))
-    rows = counted.where(F.col("nth") <= MAX_ALL_PROPERTIES).select(
+    rows = counted.where(F.col("nth") <= limits.all_properties).select(
         key, "sequence", "leaf_ord", F.col("leaf_key").alias("name"), "path", "value", F.lit("OTHER").alias("vocabulary"), F.col("id").alias("source_ref"),
         snippet(shown(F.col("value"))).alias("snippet"),
     )
     code = F.when(F.col("warning") == "PROPERTY_LIMIT_REACHED", "RESPONSE_PROPERTY_LIMIT_REACHED").otherwise(F.col("warning"))
-    warned = _warnings(flat.where("warning is not null"), key, "network", F.concat(F.lit("NETWORK_"), code))
-    many = _warnings(counted.where(F.col("nth") == MAX_ALL_PROPERTIES + 1), key, "network", F.lit("NETWORK_TOTAL_PROPERTY_LIMIT_REACHED"))
-    large = _warnings(told.where((F.col("body_bytes") > MAX_BODY) & (F.col("nth") <= MAX_RESPONSES)), key, "network", F.lit("NETWORK_BODY_TOO_LARGE"))
-    spent = told.where(~F.col("taken") & (F.col("body_bytes") <= MAX_BODY) & (F.col("nth") <= MAX_RESPONSES)).select(key).distinct()
-    extra = told.where(F.col("nth") == MAX_RESPONSES + 1)
-    warnings = warned.unionByName(many).unionByName(large).unionByName(_warnings(spent, key, "network", F.lit("NETWORK_TOTAL_BODY_BUDGET_REACHED")))
-    warnings = warnings.unionByName(_warnings(extra, key, "network", F.lit("NETWORK_RESPONSE_LIMIT_REACHED")))
-    return _properties(rows, key, "network", "NETWORK", ["sequence", "leaf_ord"]), warnings
+    warned = warning_rows(flat.where("warning is not null"), key, "network", F.concat(F.lit("NETWORK_"), code))
+    many = warning_rows(counted.where(F.col("nth") == limits.all_properties + 1), key, "network", F.lit("NETWORK_TOTAL_PROPERTY_LIMIT_REACHED"))
+    large = warning_rows(told.where((F.col("body_bytes") > limits.body_bytes) & (F.col("nth") <= limits.responses)), key, "network", F.lit("NETWORK_BODY_TOO_LARGE"))
+    spent = told.where(~F.col("taken") & (F.col("body_bytes") <= limits.body_bytes) & (F.col("nth") <= limits.responses)).select(key).distinct()
+    extra = told.where(F.col("nth") == limits.responses + 1)
+    warnings = warned.unionByName(many).unionByName(large).unionByName(warning_rows(spent, key, "network", F.lit("NETWORK_TOTAL_BODY_BUDGET_REACHED")))
+    warnings = warnings.unionByName(warning_rows(extra, key, "network", F.lit("NETWORK_RESPONSE_LIMIT_REACHED")))
+    return property_rows(rows, key, "network", "NETWORK", ["sequence", "leaf_ord"]), warnings

@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.http import html_gate
 from ..operators import matching as m
-from ..operators.discovery import discover
+from ..operators.discovery import discover, warning_rows
 from ..operators.jobs import requested_fields
+from ..operators.network import Limits, network_properties
 from ..sources.elements import elements
 from ..sources.staging import stage
 
 
-def extract(jobs: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
-    """All stage tables. jobs: job_id, requested_fields. pages: job_id, html."""
+def extract(jobs: DataFrame, pages: DataFrame, responses: DataFrame | None = None, limits: Limits = Limits()) -> dict[str, DataFrame]:
+    """All stage tables. jobs: job_id, requested_fields. pages: job_id, html, and perhaps content_type and body_truncated.
+
+    responses, if any: job_id, id, sequence, body; their properties compete with those of the
+    pages. A page whose stated type isn't HTML gives none. A truncated page gives a warning.
+    """
+    if "content_type" in pages.columns:
+        pages = pages.where(html_gate(F.col("content_type"), F.octet_length("html")))
     fields = requested_fields(jobs)
     parsed = stage(elements(pages, "html", "job_id"), "elements")  # pages are parsed once for all extractors
     properties, warnings = discover(parsed, "job_id")
+    if "body_truncated" in pages.columns:
+        warnings = warnings.unionByName(warning_rows(pages.where("body_truncated"), "job_id", "dom", F.lit("DOM_SOURCE_TRUNCATED")))
+    if responses is not None:
+        found, left_out = network_properties(responses, "job_id", limits)
+        properties, warnings = properties.unionByName(found), warnings.unionByName(left_out)
     return from_properties(jobs, fields, stage(properties, "properties")) | {"warnings": warnings}
 
 

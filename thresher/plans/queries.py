@@ -194,7 +194,11 @@ def S18_capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.capture_summary(_responses(spark, sf_dir))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s) AS nth, CASE event_id % 6 WHEN 2 THEN 'NON_TEXT' WHEN 3 THEN 'STREAMING' WHEN 4 THEN 'MISSING_CONTENT_TYPE' END AS reason FROM r WHERE event_type <> 'view')
+SELECT user_id AS job_id, CAST(event_id AS VARCHAR) AS id, s - 1 AS sequence, reason AS body_omitted_reason, CASE WHEN reason IS NULL THEN strlen(props) END AS kept_bytes FROM e WHERE nth <= 200"""
+)
 def S14_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = network.capture(_responses(spark, sf_dir))
     return kept.select("job_id", "id", "sequence", "body_omitted_reason", F.octet_length("body").alias("kept_bytes"))
@@ -280,7 +284,12 @@ def N4_network_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", "source_ref", "key", "path", F.col("value.n").alias("n"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s, (event_id % 7 + 1) * 100 AS b FROM events),
+l AS (SELECT *, list(CASE WHEN b <= 600 AND s <= 200 THEN b ELSE 0 END) OVER (PARTITION BY job_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+SELECT job_id, s - 1 AS sequence, b AS body_bytes,
+  b <= 600 AND s <= 200 AND list_reduce(list_prepend(CAST(0 AS BIGINT), coalesce(before, [])), lambda u, x: CASE WHEN u + x <= 2000 THEN u + x ELSE u END) + b <= 2000 AS taken FROM l"""
+)
 def N8_body_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = _responses(spark, sf_dir).withColumn("body_bytes", (F.col("id").cast("bigint") % 7 + 1) * 100)
     return network.within_budget(sized, most=600, total=2_000).select("job_id", "sequence", "body_bytes", "taken")
@@ -384,6 +393,74 @@ def G2_extraction_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", "status", F.array_join("missing_fields", ",").alias("missing"))
 
 
+def _field(name: str, kind: str, aliases: Column, paths: Column, required: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), none.alias("description"), aliases.alias("aliases"), paths.alias("paths"), required.alias("required"))
+
+
+def _property(key: Column, path: Column, v: Column, number: int = 0) -> Column:
+    return F.struct(
+        F.lit(0).alias("ext_ord"), F.lit(number).alias("prop_ord"), key.alias("key"), path.alias("path"), v.alias("value"), F.lit("META").alias("source"), F.lit("OTHER").alias("vocabulary"),
+        F.lit("columns").alias("extractor_id"), F.lit(None).cast("string").alias("source_ref"), F.lit("").alias("snippet"),
+    )
+
+
+@query(
+    f"""SELECT s_suppkey AS job_id, {_sql_pick('s_suppkey', ['EXACT_NAME', 'SYNONYM', 'EXACT_ALIAS', 'NORMALIZED', 'PATH'])} AS rule,
+  CAST({_sql_pick('s_suppkey', [0.98, 0.85, 0.95, 0.9, 1.0])} AS DOUBLE) AS confidence, s_name AS text FROM supplier WHERE s_suppkey % 6 < 5"""
+)
+def J1_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field, and a property that meets it by another rule for each fifth supplier; every sixth has none."""
+    suppliers = _read(spark, sf_dir, "supplier").withColumn("job_id", F.col("s_suppkey"))
+    field = _field("Title", "string", F.array(F.lit(" Top Line ")), F.array(F.lit("$.data.main")), F.lit(True))
+    fields = jobs.requested_fields(suppliers.select("job_id", F.array(field).alias("requested_fields")))
+    key = _pick("job_id", ["Title", "headline", "top line", "ti-tle", "other"])
+    path = F.when(F.col("job_id") % 5 == 4, "$.data.main").otherwise("$.elsewhere")
+    made = F.array(_property(key, path, values.string_value(F.col("s_name"))))
+    found = matching.match(fields, suppliers.where("job_id % 6 < 5").select("job_id", F.inline(made)))
+    return found.select("job_id", "rule", "confidence", F.col("value.s").alias("text"))
+
+
+@query(
+    f"""SELECT c_custkey AS job_id, {_sql_pick('c_custkey', ['VALID', 'INVALID', 'PARTIAL', 'INVALID'])} AS status, {_sql_pick('c_custkey', ['name,amount', 'name', 'name', 'name'])} AS valid,
+  {_sql_pick('c_custkey', ['', '', '', 'amount'])} AS invalid, {_sql_pick('c_custkey', ['', 'amount', 'amount', ''])} AS missing,
+  {_sql_pick('c_custkey', ['COMPLETE', 'PARSER_FAILURE', 'COMPLETE', 'PARSER_FAILURE'])} AS decision, {_sql_pick('c_custkey', ['FULL', None, 'PARTIAL', None])} AS quality FROM customer"""
+)
+def G5_validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In turn: all valid, a required field missing, an optional one missing, a required one that doesn't convert."""
+    none, turn = F.array().cast("array<string>"), F.col("job_id") % 4
+    customers = _read(spark, sf_dir, "customer").withColumn("job_id", F.col("c_custkey"))
+    made = customers.select("job_id", F.array(_field("name", "string", none, none, F.lit(True)), _field("amount", "number", none, none, turn % 2 == 1)).alias("requested_fields"))
+    given = F.array(
+        _property(F.lit("name"), F.lit("name"), values.string_value(F.col("c_name"))),
+        _property(F.when(turn.isin(0, 3), "amount").otherwise("none"), F.lit("x"), values.string_value(F.when(turn == 0, "12.5").otherwise("twelve")), 1),
+    )
+    tables = extraction.from_properties(made, jobs.requested_fields(made), customers.select("job_id", F.inline(given)))
+    lists = [F.array_join(f"{c}_fields", ",").alias(c) for c in ("valid", "invalid", "missing")]
+    return tables["validation"].select("job_id", "status", *lists).join(tables["outcome"].select("job_id", "decision", "quality"), "job_id")
+
+
+@query(
+    """SELECT s_suppkey AS job_id, CASE s_suppkey % 3 WHEN 0 THEN 'INVALID' ELSE 'VALID' END AS status, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS headline,
+  CAST(s_nationkey AS DOUBLE) AS nation, s_suppkey % 3 = 1 AS truncated FROM supplier"""
+)
+def V6_page_and_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as pages beside a captured response; every third page states that it isn't HTML, every third is truncated."""
+    none, turn = F.array().cast("array<string>"), F.col("job_id") % 3
+    s = _read(spark, sf_dir, "supplier").withColumn("job_id", F.col("s_suppkey"))
+    made = s.select("job_id", F.array(_field("headline", "string", F.array(F.lit("h1")), none, F.lit(True)), _field("nation", "number", none, none, F.lit(False))).alias("requested_fields"))
+    html = F.concat(F.lit("<html><body><h1>"), "s_name", F.lit("</h1><p>text</p></body></html>"))
+    kind = F.when(turn == 0, "application/pdf").when(turn == 1, "text/html; charset=utf-8")
+    pages = s.select("job_id", html.alias("html"), kind.alias("content_type"), (turn < 2).alias("body_truncated"))
+    body = F.concat(F.lit(")]}',"), F.to_json(F.struct(F.struct(F.col("s_nationkey").alias("nation")).alias("of"))))
+    t = extraction.extract(made, pages, s.select("job_id", F.lit("r1").alias("id"), F.lit(1).alias("sequence"), body.alias("body")))
+    value = F.struct(F.col("value.s").alias("s"), F.col("value.n").alias("n"))
+    named = t["normalized"].groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("field", value))).alias("record"))
+    cut = t["warnings"].where("code = 'DOM_SOURCE_TRUNCATED'").select("job_id", F.lit(True).alias("truncated"))
+    found = t["validation"].select("job_id", "status").join(named, "job_id", "left").join(cut, "job_id", "left")
+    return found.select("job_id", "status", F.col("record")["headline"]["s"].alias("headline"), F.col("record")["nation"]["n"].alias("nation"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 @query("SELECT c_custkey AS job_id, u.* FROM customer, LATERAL (VALUES ('link')) AS u(field)")
 def J2_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, fields, props = _customer_jobs(spark, sf_dir)

@@ -63,7 +63,7 @@ def collapse(text: str) -> str:
 
 
 class _Node:
-    __slots__ = ("attrs", "children", "last", "ord", "parent", "tag")
+    __slots__ = ("attrs", "children", "end", "last", "ord", "parent", "start", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -90,21 +90,25 @@ class _Tree(HTMLParser):
         self.head, self.body = _Node("head", {}, self.html), _Node("body", {}, self.html)
         self.html.children = [self.head, self.body]
         self.open, self.left_open, self.in_body = [self.head], [], False
+        self.n_open: Counter = Counter()  # by tag, so that no search runs through open elements in vain
 
     def _enter_body(self) -> None:
         if not self.in_body:
             self.in_body, self.open = True, [self.body]
+            self.n_open.clear()
 
     def _push(self, tag: str, attrs: dict[str, str], keep: bool = True) -> None:
         node = _Node(tag, attrs, self.open[-1])
         self.open[-1].children.append(node)
         if keep:
             self.open.append(node)
+            self.n_open[tag] += 1
 
     def _pop_to(self, depth: int, closing: bool) -> None:
         """Ends the elements from this depth on; formatting that they leave open goes on after them."""
         lost = [n for n in self.open[depth + closing :] if n.tag in FORMATTING]
         self.left_open += [(n.tag, n.attrs) for n in lost]
+        self.n_open.subtract(n.tag for n in self.open[depth:])
         del self.open[depth:]
 
     def _reopen(self) -> None:
@@ -124,7 +128,7 @@ class _Tree(HTMLParser):
             return
         if not self.in_body and not (tag in HEAD_ONLY):
             self._enter_body()
-        if tag in P_ENDERS:
+        if tag in P_ENDERS and self.n_open["p"]:
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag == "p":
                     self._pop_to(k, True)
@@ -132,7 +136,7 @@ class _Tree(HTMLParser):
                 if self.open[k].tag in ("button", "td", "th", "table", "caption"):
                     break
         for starts, ended, bounds in ENDS:
-            if tag in starts:
+            if tag in starts and any(self.n_open[t] for t in ended):
                 depth = 0
                 for k in range(len(self.open) - 1, 0, -1):
                     if self.open[k].tag in bounds:
@@ -155,12 +159,13 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag in ("path", "svg"):
             self.open.pop()
+            self.n_open[tag] -= 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
             self._enter_body()
             return
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self.n_open[tag] else ():
             if self.open[k].tag == tag:
                 self._pop_to(k, True)
                 return
@@ -192,22 +197,35 @@ def _chosen(node: _Node) -> str:
     return "" if picked is None else collapse(picked.attrs.get("value", "")) or collapse(picked.all_text())
 
 
+def _lay_out(root: _Node) -> tuple[list[_Node], str]:
+    """The elements in document order, and the page's text with white space collapsed, of which each element's text is a slice."""
+    nodes: list[_Node] = []
+    parts: list[str] = []
+    size, blank = 0, False
+    stack: list[tuple[_Node | str, bool]] = [(root, False)]
+    while stack:
+        one, ends = stack.pop()
+        if isinstance(one, str):
+            text = _BLANK.sub(" ", one)
+            text = text[1:] if blank and text.startswith(" ") else text
+            parts.append(text)
+            size, blank = size + len(text), text.endswith(" ") if text else blank
+        elif ends:
+            one.last, one.end = len(nodes) - 1, size
+        else:
+            one.ord, one.start = len(nodes), size
+            nodes.append(one)
+            stack.append((one, True))
+            stack.extend((c, False) for c in reversed(one.children))
+    return nodes, "".join(parts)
+
+
 def element_rows(html: str) -> list[dict]:
     """The rows of one page, without its key."""
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    nodes: list[_Node] = []
-
-    stack = [tree.html]
-    while stack:
-        node = stack.pop()
-        node.ord = node.last = len(nodes)
-        nodes.append(node)
-        stack.extend(reversed(node.elements()))
-    for node in reversed(nodes):
-        if node.parent:
-            node.parent.last = max(node.parent.last, node.last)
+    nodes, page_text = _lay_out(tree.html)
     ids = Counter(n.attrs["id"] for n in nodes if n.attrs.get("id"))
     classes = Counter(c for n in nodes for c in set(n.attrs.get("class", "").split()))
     rows: list[dict] = []
@@ -232,13 +250,14 @@ def element_rows(html: str) -> list[dict]:
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attrs.get("style", "").lower()))
         kind = attrs.get("type", "").lower()
         shut = node.tag in EXCLUDED_TAGS or hidden
-        text = collapse(node.all_text())
+        start = node.start + page_text.startswith(" ", node.start, node.end)
+        end = node.end - page_text.endswith(" ", start, node.end)
         whole = node.tag == "title" or "itemprop" in attrs
         in_body = body_first < node.ord <= tree.body.last
         control = next((d.ord for d in nodes[node.ord + 1 : node.last + 1] if d.tag in CONTROLS), None) if node.tag == "label" else None
         rows.append({
             "ord": node.ord, "parent": parent.ord if parent else None, "last": node.last, "tag": node.tag, "attrs": list(attrs.items()),
-            "text": text if whole else text[:TEXT_KEPT], "text_len": len(text), "own_text": any(isinstance(c, str) and bool(c.strip()) for c in node.children),
+            "text": page_text[start : end if whole else min(end, start + TEXT_KEPT)], "text_len": end - start, "own_text": any(isinstance(c, str) and bool(c.strip()) for c in node.children),
             "n_desc": node.last - node.ord, "n_children": len(node.elements()),
             "below_shut": bool(above and (above["below_shut"] or above["shut"])), "shut": shut,
             "excluded": shut or (node.tag == "input" and kind in EXCLUDED_INPUTS) or bool(above and (above["below_shut"] or above["shut"])),
