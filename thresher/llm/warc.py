@@ -30,12 +30,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, table
 
 CHUNK = 256 * 1024
+#: Payload bytes that an archive holds on average, before compression, where there are many.
+ARCHIVE = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK_SCHEMA = (
@@ -97,9 +99,10 @@ def _head(row: dict) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
 
-def write(chunks: DataFrame, folder: str, min_revisit: int = 1000, level: int = 6) -> DataFrame:
-    """Writes archives from a table of chunked(); returns path, n_records."""
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def write(chunks: DataFrame, folder: str, min_revisit: int = 1000, level: int = 6, archive: int = ARCHIVE) -> DataFrame:
+    """Writes archives from a table of chunked(); returns path, n_records. Their number grows with the payloads: one task writes about `archive` bytes, and one reads them."""
+    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // archive))
     seen = cut(revisits(chunks, min_revisit), "revisits").withColumn("revisit", F.lit(True))
     placed = chunks.join(seen, "uid", "left").where("revisit is null or chunk_no = 0")
     empty = F.lit(None).cast("binary")
@@ -210,10 +213,8 @@ def read(archives: DataFrame, chunk: int = CHUNK, with_chunks: bool = True) -> D
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt one by one: a task for each archive.
-    numbered = archives.select("path", (F.row_number().over(Window.orderBy("path")) % parts).alias("at"))
-    return numbered.repartition(parts, "at").select("path").mapInArrow(run, CHUNK_SCHEMA)
+    # A task for each archive, more or less.
+    return archives.select("path").repartitionByRange(max(1, archives.count()), "path").mapInArrow(run, CHUNK_SCHEMA)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
