@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.values import TYPE
+from ..sources.staging import dealt
 
 _NAME = re.compile(r"^[A-Za-z_$][A-Za-z0-9_$]*$")
 LEAF = f"leaf_ord int, leaf_key string, path string, value {TYPE}, vocabulary string, warning string"
@@ -151,4 +152,4 @@ def flatten(documents: DataFrame, text_col: str, keep: Sequence[str], walk: Walk
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     columns = list(dict.fromkeys([*keep, text_col]))
-    return documents.where(documents[text_col].isNotNull()).select(*columns).mapInArrow(run, schema)
+    return dealt(documents.where(documents[text_col].isNotNull()).select(*columns)).mapInArrow(run, schema)

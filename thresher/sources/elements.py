@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .staging import dealt
+
 TEXT_KEPT = 2001
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
@@ -288,4 +290,4 @@ def elements(pages: DataFrame, html_col: str = "html", key: str = "page_id") ->
         yield pa.RecordBatch.from_pylist(rows, arrow)
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return pages.select(key, F.col(html_col)).mapInArrow(run, schema)
+    return dealt(pages.select(key, F.col(html_col))).mapInArrow(run, schema)

@@ -36,6 +36,19 @@ def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores where it is too small to be read by as many tasks; larger tables stay as they are read.
+
+    For work that is heavy for each row, such as parsing. Only a table below one file split
+    for each core is exchanged, so what moves is bounded by the cluster and not by the data.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < cores * split else df
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files behind a table that stage() returned and nothing reads any more."""
     spark = df.sparkSession
