@@ -199,10 +199,10 @@ def preflight(jobs: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     return rows.select("job_id", "domain", F.when(waits, "RETRY_LATER").otherwise("ALLOW").alias("decision"), reason.alias("reason"), F.when(waits, left).alias("retry_after_ms"))
 
 
-def streaks(events: DataFrame) -> DataFrame:
+def streaks(events: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Consecutive rate limits and failures of each domain after each event, since its last ALLOW.
 
-    events: domain, ts, event_id, decision, reason.
+    events: domain, ts, event_id, decision, reason, and the columns that are carried along.
     """
     order = Window.partitionBy("domain").orderBy("ts", "event_id")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -211,7 +211,7 @@ def streaks(events: DataFrame) -> DataFrame:
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(within).cast("int")
     retry, limited = F.col("decision") == "RETRY_LATER", F.coalesce(F.col("reason") == "RATE_LIMITED", F.lit(False))
     return islands.select(
-        "domain", "ts", "event_id", "decision", "reason", count(retry & limited).alias("consecutive_rate_limits"), count(retry & ~limited).alias("consecutive_failures")
+        "domain", "ts", "event_id", "decision", "reason", *carried, count(retry & limited).alias("consecutive_rate_limits"), count(retry & ~limited).alias("consecutive_failures")
     )
 
 
@@ -220,7 +220,7 @@ def domain_state(events: DataFrame) -> DataFrame:
 
     Denials and requests to the user leave counters and cooldown as they are.
     """
-    known = streaks(events).join(events.select("domain", "event_id", "retry_after_ms"), ["domain", "event_id"])
+    known = streaks(events, ("retry_after_ms",))
     order = F.struct("ts", "event_id")
     retry = F.when(F.col("decision") == "RETRY_LATER", order)
     last = known.groupBy("domain").agg(
