@@ -136,6 +136,17 @@ def pending_actions(changes: DataFrame) -> DataFrame:
     return last.where("c.op = 'set'").select("job_id", "c.action", "c.action_url", "c.created_at")
 
 
+def user_actions(decisions: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Of decisions that ask for the user: events for lifecycle() but for event_id, and changes for pending_actions().
+
+    decisions: job_id, decision, reason, message, action, action_url. Both tables come from the
+    same rows, so no job is marked whose action isn't stored. A null time fails the query.
+    """
+    asked = decisions.where(F.col("decision") == "USER_ACTION_REQUIRED").withColumn("ts", F.coalesce(at, F.raise_error(F.lit("no time of the decision"))))
+    events = asked.select("job_id", "ts", F.lit("USER_ACTION").alias("kind"), "reason", F.col("message").alias("error"))
+    return events, asked.select("job_id", "ts", F.lit("set").alias("op"), "action", "action_url")
+
+
 def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
     """sequence: the place of each row within its key, from 0."""
     return rows.withColumn("sequence", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)

@@ -648,6 +648,21 @@ def T8_pending_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.pending_actions(changes).select("job_id", "action")
 
 
+@query(
+    f"""{_ORDERED} SELECT job_id, 'USER_ACTION_REQUIRED' AS status, reason AS last_access_reason, job_id % 5 = 0 AS done,
+  CASE WHEN job_id % 5 > 0 THEN CASE reason WHEN 'CAPTCHA' THEN 'CAPTCHA' WHEN 'LOGIN_REQUIRED' THEN 'LOGIN' WHEN 'AUTH_REQUIRED' THEN 'LOGIN' ELSE 'MANUAL_INTERVENTION' END END AS action,
+  CASE WHEN job_id % 5 > 0 THEN 'https://a.example' || CASE WHEN job_id % 4 = 0 THEN {_sql_pick('job_id', _PATHS)} ELSE '/' || job_id END END AS action_url
+FROM w WHERE nth = 1 AND reason IN ('CAPTCHA', 'LOGIN_REQUIRED', 'AUTH_REQUIRED', 'SECURITY_CHALLENGE', 'NETWORK_BLOCKED')"""
+)
+def T13_user_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that wait for the user, and their pending actions; those of every fifth document are done and deleted."""
+    events, changes = jobs.user_actions(_decisions(spark, sf_dir), F.timestamp_millis(F.lit(0)))
+    done = changes.where("job_id % 5 = 0").withColumns({"ts": F.timestamp_millis(F.lit(1)), "op": F.lit("delete")})
+    states = jobs.lifecycle(events.withColumn("event_id", F.lit(0))).select("job_id", "status", "last_access_reason")
+    pending = jobs.pending_actions(changes.unionByName(done)).drop("created_at")
+    return states.join(pending, "job_id", "left").select("job_id", "status", "last_access_reason", F.col("action").isNull().alias("done"), "action", "action_url")
+
+
 @query(
     """SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 6 >= 4 THEN 'FAILED' ELSE 'RETRY_LATER' END AS kind,
   CASE WHEN o_custkey % 6 >= 4 THEN 'Retry budget exhausted after ' || (o_custkey % 6) || ' attempts. wait' ELSE 'wait' END AS error FROM orders"""
