@@ -1,6 +1,10 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from thresher.operators import jobs
+from thresher.sources.staging import dealt
 from thresher.streaming import state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -43,3 +47,27 @@ def test_deduplication_by_window(spark, tmp_path):
     query = state.deduplicated(stream).writeStream.format("memory").queryName("requests").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r["dedup_key"].rsplit(":", 1)[1] for r in spark.table("requests").collect()) == ["56802240", "56802241"]
+
+
+def test_user_actions_come_from_the_same_rows(spark):
+    schema = "job_id long, decision string, reason string, message string, action string, action_url string"
+    rows = [(1, "ALLOW", None, None, None, None), (2, "USER_ACTION_REQUIRED", "CAPTCHA", "solve it", "CAPTCHA", "u"), (None, "USER_ACTION_REQUIRED", "CAPTCHA", None, None, None)]
+    decisions = spark.createDataFrame(rows, schema)
+    events, changes = jobs.user_actions(decisions, F.timestamp_millis(F.lit(0)))
+    assert {r.job_id for r in events.collect()} == {r.job_id for r in changes.collect()} == {2, None}
+    assert jobs.user_actions(decisions.where("false"), F.timestamp_millis(F.lit(0)))[0].count() == 0
+    with pytest.raises(Exception, match="no time"):
+        jobs.user_actions(decisions, F.lit(None).cast("timestamp"))[0].collect()
+
+
+def test_small_inputs_are_dealt_over_all_cores(spark):
+    one = spark.range(100).coalesce(1)
+    assert dealt(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt(one).collect()) == list(range(100))
+    assert dealt(one.where("id < 0")).count() == 0
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
+        assert dealt(one).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
