@@ -55,7 +55,7 @@ def test_stages(spark, tables):
 
 
 def test_run_is_the_stages(spark, tables):
-    assert "pipeline" in __spark_entry__.queries() and sum(n.startswith("op") for n in __spark_entry__.queries()) == 12
+    assert "pipeline" in __spark_entry__.queries() and sum(n.startswith("op") for n in __spark_entry__.queries()) == 13
     found = corpus_pipeline.run(spark, tables)
     assert found.agg(F.countDistinct("doc_id")).first()[0] >= 300
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    approximate_neighbours, bpe, fill_in_middle, merkle, packing, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity, warc,
+    approximate_neighbours, bpe, fill_in_middle, language, merkle, packing, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity, warc,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "op11_language_id": language.op11_language_id,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
