@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import http
 from ..functions.text import trim
+from ..sources.staging import stage
 
 INSPECTED, LEAST_CONFIDENCE = 262_144, 0.6
+#: Domains of more events are folded slice by slice.
+HOT_DOMAIN = 2_000_000
 # What HTTP statuses mean, and how surely.
 STATUS = {
     401: ("AUTH_REQUIRED", 1.0), 403: ("FORBIDDEN", 0.7), 408: ("TIMEOUT", 0.95), 429: ("RATE_LIMITED", 1.0), 451: ("FORBIDDEN", 0.9),
@@ -199,33 +202,90 @@ def preflight(jobs: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     return rows.select("job_id", "domain", F.when(waits, "RETRY_LATER").otherwise("ALLOW").alias("decision"), reason.alias("reason"), F.when(waits, left).alias("retry_after_ms"))
 
 
-def streaks(events: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Consecutive rate limits and failures of each domain after each event, since its last ALLOW.
+def _sliced(events: DataFrame, hot: int) -> tuple[DataFrame, bool]:
+    """events with slice, and whether there is more than one: domains of more than `hot` events are cut into runs of their events in order.
 
-    events: domain, ts, event_id, decision, reason, and the columns that are carried along.
+    There are fewer than one such domain for each `hot` events, so their names are few. Their
+    events are range-partitioned, and what partition they came to is written down.
     """
-    order = Window.partitionBy("domain").orderBy("ts", "event_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    islands = events.withColumn("island", F.sum(F.when(F.col("decision") == "ALLOW", 1).otherwise(0)).over(so_far))
-    within = Window.partitionBy("domain", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(within).cast("int")
+    large = events.groupBy("domain").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("domain").alias("large"))
+    if large.isEmpty():
+        return events.withColumn("slice", F.lit(0)), False
+    large, same = stage(large, "hot-domains"), F.col("domain").eqNullSafe(F.col("large"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = events.join(F.broadcast(large), same, "left_semi").repartitionByRange(parts, "domain", "ts", "event_id").withColumn("slice", F.spark_partition_id() + 1)
+    rest = events.join(F.broadcast(large), same, "left_anti").withColumn("slice", F.lit(0))
+    return rest.unionByName(stage(runs, "domain-slices")), True
+
+
+def _within_slices(sliced: DataFrame) -> DataFrame:
+    """sliced with the counts since the slice's last ALLOW, and fresh: whether there was none so far in the slice."""
+    order = Window.partitionBy("domain", "slice").orderBy("ts", "event_id")
+    allowed = F.coalesce(F.col("decision") == "ALLOW", F.lit(False))
+    islands = sliced.withColumn("island", F.sum(allowed.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("domain", "slice", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     retry, limited = F.col("decision") == "RETRY_LATER", F.coalesce(F.col("reason") == "RATE_LIMITED", F.lit(False))
-    return islands.select(
-        "domain", "ts", "event_id", "decision", "reason", *carried, count(retry & limited).alias("consecutive_rate_limits"), count(retry & ~limited).alias("consecutive_failures")
-    )
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(within).cast("int")
+    counted = islands.withColumns({"consecutive_rate_limits": count(retry & limited), "consecutive_failures": count(retry & ~limited)})
+    return counted.withColumn("fresh", F.col("island") == 0).drop("island")
 
 
-def domain_state(events: DataFrame) -> DataFrame:
-    """The latest state of each domain; those without a retry since their last ALLOW have none. events also has retry_after_ms.
+def _summaries(counted: DataFrame) -> DataFrame:
+    """What a slice adds to its domain's state: allowed (whether it has an ALLOW), the counts since the last one, the last event and the last retry.
 
-    Denials and requests to the user leave counters and cooldown as they are.
+    Summaries merge in the order of slices: the counts of the later one stand alone if it has
+    an ALLOW and are added to the earlier one's if not.
     """
-    known = streaks(events, ("retry_after_ms",))
     order = F.struct("ts", "event_id")
     retry = F.when(F.col("decision") == "RETRY_LATER", order)
-    last = known.groupBy("domain").agg(
+    return counted.groupBy("domain", "slice").agg(
+        F.bool_or(~F.col("fresh")).alias("allowed"),
         F.max_by(F.struct("consecutive_rate_limits", "consecutive_failures", F.col("ts").alias("updated_at")), order).alias("s"),
-        F.max_by(F.struct(F.col("reason").alias("last_reason"), "ts", "retry_after_ms"), retry).alias("r"),
+        F.max_by(F.struct(F.col("reason").alias("last_reason"), "ts", *(c for c in ("retry_after_ms",) if c in counted.columns)), retry).alias("r"),
+    )
+
+
+def _merged(summaries: DataFrame) -> DataFrame:
+    """summaries with the counts after each slice, as the slices before leave them. A domain has as many rows as slices."""
+    slices = Window.partitionBy("domain").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("domain", "island").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    islands = summaries.withColumn("island", F.sum(F.col("allowed").cast("int")).over(slices))
+    after = lambda c: F.sum(F.col(f"s.{c}")).over(since).cast("int").alias(c)
+    return islands.select("domain", "slice", "s.updated_at", "r", after("consecutive_rate_limits"), after("consecutive_failures"))
+
+
+def streaks(events: DataFrame, carried: tuple[str, ...] = (), hot: int = HOT_DOMAIN) -> DataFrame:
+    """Consecutive rate limits and failures of each domain after each event, since its last ALLOW.
+
+    events: domain, ts, event_id, decision, reason, and the columns that are carried along.
+    A domain of more than `hot` events is counted slice by slice; what the slices before
+    leave is added to the events of a slice that come before its first ALLOW.
+    """
+    names, counts = ("domain", "ts", "event_id", "decision", "reason", *carried), ("consecutive_rate_limits", "consecutive_failures")
+    sliced, several = _sliced(events.select(*names), hot)
+    counted = _within_slices(sliced)
+    if not several:
+        return counted.select(*names, *counts)
+    before = Window.partitionBy("domain").orderBy("slice")
+    left = _merged(_summaries(counted.where("slice > 0"))).select(
+        F.col("domain").alias("of"), F.col("slice").alias("at"), *(F.coalesce(F.lag(c).over(before), F.lit(0)).alias(f"earlier_{c}") for c in counts)
+    )
+    joined = counted.join(left, F.col("domain").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")), "left")
+    whole = lambda c: (F.col(c) + F.when(F.col("fresh"), F.coalesce(f"earlier_{c}", F.lit(0))).otherwise(0)).alias(c)
+    return joined.select(*names, *map(whole, counts))
+
+
+def domain_state(events: DataFrame, hot: int = HOT_DOMAIN) -> DataFrame:
+    """The latest state of each domain; those without a retry since their last ALLOW have none. events also has retry_after_ms.
+
+    Denials and requests to the user leave counters and cooldown as they are. Only the
+    slices' summaries are merged, so a domain of any size is a few rows.
+    """
+    sliced, _ = _sliced(events.select("domain", "ts", "event_id", "decision", "reason", "retry_after_ms"), hot)
+    merged = _merged(_summaries(_within_slices(sliced)))
+    retried = F.when(F.col("r").isNotNull(), F.col("slice"))
+    last = merged.groupBy("domain").agg(
+        F.max_by(F.struct("consecutive_rate_limits", "consecutive_failures", "updated_at"), "slice").alias("s"), F.max_by("r", retried).alias("r")
     ).select("domain", "s.*", "r.*")
     until = F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")) + F.col("retry_after_ms"))
     return last.where("consecutive_rate_limits + consecutive_failures > 0").select(
