@@ -40,6 +40,21 @@ def spread(rows: DataFrame, key: str, side: str, salt: str, chunk: int) -> DataF
     return grid.withColumn("cell", F.xxhash64(key, left, right)).drop("own", "other", "left_chunks", "right_chunks")
 
 
+def grid_of(rows: DataFrame, key: str, side: str, salt: str, chunk: int) -> DataFrame:
+    """As spread(), for any number of keys: their sizes are joined, and keys at which no two different rows can meet are left out.
+
+    A left row also stands among the right rows of its key.
+    """
+    sizes = rows.groupBy(key).agg(F.count_if(F.col(side) == 0).alias("left"), F.count_if(F.col(side) == 1).alias("right"))
+    chunks = sizes.where("left > 0 and right > 1").select(key, *(F.ceil(F.col(c) / chunk).alias(f"{c}_chunks") for c in ("left", "right")))
+    is_left = F.col(side) == 0
+    own, others = (F.when(is_left, F.col(f"{a}_chunks")).otherwise(F.col(f"{b}_chunks")) for a, b in (("left", "right"), ("right", "left")))
+    sized = rows.join(chunks, key).withColumns({"own": F.pmod(F.xxhash64(salt), own), "other": F.sequence(F.lit(0).cast("long"), others - 1)})
+    grid = sized.withColumn("other", F.explode("other"))
+    left, right = F.when(is_left, F.col("own")).otherwise(F.col("other")), F.when(is_left, F.col("other")).otherwise(F.col("own"))
+    return grid.withColumn("cell", F.xxhash64(key, left, right)).drop("own", "other", "left_chunks", "right_chunks")
+
+
 Found = Iterator[pa.RecordBatch]
 
 
