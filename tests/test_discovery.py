@@ -7,12 +7,12 @@ from thresher.operators import discovery, network
 from thresher.sources.elements import element_rows, elements
 
 PAGE = """<html><head><title> Hi  there </title><meta property="og:title" content="A"><meta name="x" content=" b  c "><meta property="og:title" content="B">
-<script type="application/ld+json">{"@context":"https://schema.org","name":"Acme","tags":["a","b"],"nil":null,"o":{"a b":[1,{"z":true}]}}</script>
+<script type="application/ld+json">{"@context":"https://schema.org","name":"Finca","tags":["a","b"],"nil":null,"o":{"a b":[1,{"z":true}]}}</script>
 <script type="application/ld+json">{bad</script></head>
-<body><div itemscope itemtype="https://schema.org/Person"><span itemprop="name alt">Bob</span><i itemprop=" ">?</i><div itemprop="address" itemscope><b itemprop="street">S 1</b></div></div>
-<dl><dt>Launch Date:</dt><dd>2020</dd><dd>2021</dd></dl><table><tr><th>Location</th><td>Hyd</td></tr><tr><td>Size</td><td>5</td></tr></table>
-<label for="q">Your name</label><input id="q" value="v"><div><span>Price</span><span>12</span></div><div class="temperature" data-value="27">x</div>
-<p data-sku="77">t</p><time datetime="2020-01-01">x</time><h2>Head</h2><div hidden><p id="secret">no</p></div></body></html>"""
+<body><div itemscope itemtype="https://schema.org/Person"><span itemprop="name alt">Ines</span><i itemprop=" ">?</i><div itemprop="address" itemscope><b itemprop="street">S 1</b></div></div>
+<dl><dt>Roast Level:</dt><dd>dark</dd><dd>medium</dd></dl><table><tr><th>Origin</th><td>Huila</td></tr><tr><td>Bags</td><td>31</td></tr></table>
+<label for="q">Grower note</label><input id="q" value="v"><div><span>Aroma</span><span>cocoa</span></div><div class="acidity" data-value="4.9">x</div>
+<p data-lot="k8">t</p><time datetime="2031-05-06">x</time><h2>Head</h2><div hidden><p id="secret">no</p></div></body></html>"""
 
 
 def _pages(spark, *html):
@@ -28,7 +28,7 @@ def _found(table):
 def test_json_ld(spark):
     found, warnings = discovery.json_ld(elements(_pages(spark, PAGE, None, "", "<p>x")))
     assert _found(found) == [
-        ("@context", '$["@context"]', "https://schema.org"), ("name", "$.name", "Acme"), ("tags", "$.tags", "a|b"), ("nil", "$.nil", None),
+        ("@context", '$["@context"]', "https://schema.org"), ("name", "$.name", "Finca"), ("tags", "$.tags", "a|b"), ("nil", "$.nil", None),
         ("a b", '$.o["a b"][0]', "1.0"), ("z", '$.o["a b"][1].z', "true"),
     ]
     assert [r["code"] for r in warnings.collect()] == ["JSON_LD_PARSE_ERROR"]
@@ -46,8 +46,8 @@ def test_meta_counts_equal_names(spark):
 def test_microdata_nests(spark):
     found, warnings = discovery.microdata(elements(_pages(spark, PAGE)))
     assert _found(found) == [
-        ("itemtype", "[itemscope]:eq(0)[itemtype]", "https://schema.org/Person"), ("name", '[itemscope]:eq(0) [itemprop="name"]:eq(0)', "Bob"),
-        ("alt", '[itemscope]:eq(0) [itemprop="alt"]:eq(0)', "Bob"), ("address", '[itemscope]:eq(0) [itemprop="address"]:eq(0)', "S 1"),
+        ("itemtype", "[itemscope]:eq(0)[itemtype]", "https://schema.org/Person"), ("name", '[itemscope]:eq(0) [itemprop="name"]:eq(0)', "Ines"),
+        ("alt", '[itemscope]:eq(0) [itemprop="alt"]:eq(0)', "Ines"), ("address", '[itemscope]:eq(0) [itemprop="address"]:eq(0)', "S 1"),
         ("street", '[itemscope]:eq(0) [itemprop="address"]:eq(0) [itemprop="street"]:eq(0)', "S 1"),
     ]
     assert [r["code"] for r in warnings.collect()] == ["MICRODATA_EMPTY_ITEMPROP"]
@@ -57,12 +57,12 @@ def test_dom_rules_by_strength(spark):
     found, _ = discovery.dom(elements(_pages(spark, PAGE)))
     got = {(k, v) for k, _, v in _found(found)}
     assert {
-        ("launch-date", "2020"), ("launch-date", "2021"), ("location", "Hyd"), ("size", "5"), ("your-name", "v"), ("sku", "77"), ("temperature", "27"),
-        ("temperature", "x"), ("price", "12"), ("datetime", "2020-01-01"), ("h2", "Head"),
+        ("roast-level", "dark"), ("roast-level", "medium"), ("origin", "Huila"), ("bags", "31"), ("grower-note", "v"), ("lot", "k8"), ("acidity", "4.9"),
+        ("acidity", "x"), ("aroma", "cocoa"), ("datetime", "2031-05-06"), ("h2", "Head"),
     } <= got
     assert "no" not in {v for _, v in got}
     paths = {k: p for k, p, _ in _found(found)}
-    assert paths["your-name"] == "#q" and paths["temperature"] == ".temperature" and paths["h2"] == "body > h2"
+    assert paths["grower-note"] == "#q" and paths["acidity"] == ".acidity" and paths["h2"] == "body > h2"
 
 
 def test_dom_keeps_the_strongest_500(spark):

@@ -307,7 +307,7 @@ def E8_normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LABELS = ["Launch Date:", "md:flex", "w-4", "_9ab", "item", "productName", "a b c d e f g h i j k", "42", "css-x1", "Price"]
+_LABELS = ["Roast Level:", "md:flex", "w-4", "_9ab", "item", "productName", "a b c d e f g h i j k", "42", "css-x1", "Price"]
 
 
 @query(f"SELECT p_partkey, p_partkey % 10 IN (0, 5, 6, 9) AS semantic, p_partkey % 10 IN (0, 5, 9) AS label FROM part")
