@@ -107,14 +107,14 @@ def queue_stats(states: DataFrame) -> DataFrame:
     return states.agg(F.count("*").alias("total"), F.count_if(handled).alias("handled"), F.count_if(~handled).alias("pending"))
 
 
-def route_retries(waiting: DataFrame, now: Column) -> DataFrame:
-    """Of jobs that are to wait (job_id, attempt, max_retries, retry_after_ms, reason, message): scheduled with retry_at, or failed as the budget is spent."""
+def route_retries(waiting: DataFrame, now: Column, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Of jobs that are to wait (job_id, attempt, max_retries, retry_after_ms, reason, message): scheduled with retry_at, or failed as the budget is spent. Columns to carry come along."""
     spent = F.col("attempt") >= F.coalesce("max_retries", F.lit(3)) + 1
     error = F.concat(F.lit("Retry budget exhausted after "), F.col("attempt").cast("string"), F.lit(" attempts. "), F.coalesce("message", F.lit("")))
     at = F.timestamp_millis(F.unix_millis(now) + F.least(F.col("retry_after_ms"), F.lit(MAX_DELAY_MS)))
     return waiting.select(
         "job_id", F.when(spent, "FAILED").otherwise("RETRY_LATER").alias("kind"), "reason", F.when(spent, error).otherwise(F.col("message")).alias("error"),
-        F.when(~spent, at).alias("retry_at"),
+        F.when(~spent, at).alias("retry_at"), *carried,
     )
 
 
