@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import made_pages  # noqa: F401  registers its queries
 from .queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "page_records"
