@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, discovery, network
 from ..sources.elements import elements
+from . import coordination
 from .queries import _DECODED, ORACLE_SQL, _decisions, _ORDERED, _pick, _read, _SIGNALS, _sql_pick, query  # noqa: F401
 
 
@@ -259,3 +260,48 @@ FROM documents LEFT JOIN (SELECT * FROM w WHERE nth = 1) ON job_id = doc_id"""
 def E15_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is said of each decision, and where the user has to act."""
     return _decisions(spark, sf_dir).select("job_id", "message", "action_url")
+
+
+# --- from job to status ----------------------------------------------------------------------
+
+_SITES = ["full", "part", "none", "busy", "human", "gone", "shut"]
+
+
+@query(
+    f"""WITH c AS (SELECT *, c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'cool' ELSE {_sql_pick('c_custkey', _SITES)} END AS site, c_custkey % 5 + 1 >= 4 AS spent FROM customer),
+w AS (SELECT *, CASE site WHEN 'cool' THEN 'TIMEOUT' WHEN 'busy' THEN 'RATE_LIMITED' WHEN 'gone' THEN 'DNS_ERROR' END AS waits FROM c)
+SELECT k AS job_id, CASE WHEN waits IS NOT NULL THEN CASE WHEN spent THEN 'FAILED_FINAL' ELSE 'RETRY_SCHEDULED' END WHEN site IN ('full', 'part') THEN 'SUCCESS' WHEN site = 'none' THEN 'PARSER_FAILED'
+    WHEN site = 'human' THEN 'USER_ACTION_REQUIRED' ELSE 'FAILED_FINAL' END AS status,
+  coalesce(waits, CASE site WHEN 'human' THEN 'CAPTCHA' WHEN 'shut' THEN 'FORBIDDEN' END) AS last_access_reason, CAST(1 AS BIGINT) AS attempt,
+  CASE WHEN waits IS NOT NULL THEN CASE WHEN spent THEN 'Retry budget exhausted after ' || (k % 5 + 1) || ' attempts. ' ELSE '' END
+      || CASE site WHEN 'cool' THEN '' WHEN 'busy' THEN 'Rate limited. Retry after 120s.' ELSE 'Temporary failure (DNS_ERROR). Retry after 10s.' END
+    WHEN site = 'none' THEN 'Parser validation failed with status INVALID.' WHEN site = 'human' THEN '{access.ACTIONS["CAPTCHA"][1]}' WHEN site = 'shut' THEN '{access.DENIALS["FORBIDDEN"]}' END AS last_error,
+  CASE site WHEN 'full' THEN 'FULL' WHEN 'part' THEN 'PARTIAL' END AS quality, CASE WHEN site IN ('full', 'part') THEN c_name END AS headline, CASE WHEN site = 'full' THEN 12.5 END AS score,
+  CASE WHEN waits IS NOT NULL AND NOT spent THEN CASE site WHEN 'cool' THEN 5000 WHEN 'busy' THEN 120000 ELSE 10000 END END AS retry_ms, CASE WHEN site = 'human' THEN 'CAPTCHA' END AS action FROM w"""
+)
+def V6_job_to_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as jobs of eight sites: complete pages, partial ones, such that lack a required field, busy, guarded, unknown and forbidden ones, and one that cools down."""
+    key, none = F.col("c_custkey"), F.array().cast("array<string>")
+    site = F.when(key % 11 == 0, "cool").otherwise(_pick("c_custkey", _SITES))
+    field = lambda name, kind, needed: F.struct(
+        F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("description"), (F.array(F.lit("h1")) if needed else none).alias("aliases"), none.alias("paths"), F.lit(needed).alias("required")
+    )
+    c = _read(spark, sf_dir, "customer").withColumns({"site": site, "url": F.concat(F.lit("https://"), site, F.lit(".example/"), key.cast("string"))})
+    made = c.select(key.alias("job_id"), "url", F.array(field("headline", "string", True), field("cup score", "number", False)).alias("requested_fields"), (key % 5).alias("attempt"), F.lit(None).cast("int").alias("max_retries"))
+    head, at = F.concat(F.lit("<html><body><h1>"), "c_name", F.lit("</h1>")), F.col("site")
+    html = F.when(at == "full", F.concat(head, F.lit('<p id="cup-score">12.5</p>'))).when(at == "part", head).when(at == "human", F.concat(head, F.lit("<div class='g-recaptcha'>"))).otherwise("<p>nothing</p>")
+    text = F.lit(None).cast("string")
+    recorded = c.where(at != "gone").select(
+        "url", F.when(at == "busy", 429).when(at == "shut", 451).otherwise(200).alias("status_code"), F.create_map(F.lit("Content-Type"), F.array(F.lit("text/html"))).alias("headers"), html.cast("binary").alias("body"),
+        text.alias("final_url"), F.array().cast("array<string>").alias("redirects"), text.alias("error_code"), text.alias("error_message"),
+    )
+    now = F.timestamp_millis(F.lit(1_000_000))
+    domains = spark.createDataFrame([("cool.example", 0, 1, 1_005_000, "TIMEOUT"), ("busy.example", 2, 0, 999_000, "RATE_LIMITED")], "domain string, consecutive_rate_limits int, consecutive_failures int, ms long, last_reason string")
+    t = coordination.coordinate(made, recorded, domains.withColumn("cooldown_until", F.timestamp_millis("ms")), now, F.lit(0.5))
+    record = t["normalized"].groupBy("job_id").agg(F.max(F.when(F.col("field") == "headline", F.col("value.s"))).alias("headline"), F.max(F.when(F.col("field") == "cup score", F.col("value.n"))).alias("score"))
+    rows = t["states"].join(t["outcome"].select("job_id", "quality"), "job_id", "left").join(record, "job_id", "left").join(t["retries"], "job_id", "left").join(t["actions"].select("job_id", "action"), "job_id", "left")
+    good = F.col("status") == "SUCCESS"
+    return rows.select(
+        "job_id", "status", "last_access_reason", "attempt", F.coalesce("last_error", F.when(F.col("status").isin("RETRY_SCHEDULED"), F.lit(""))).alias("last_error"), "quality", F.when(good, F.col("headline")).alias("headline"),
+        F.when(good, F.col("score")).alias("score"), (F.unix_millis("retry_at") - 1_000_000).alias("retry_ms"), "action",
+    )
