@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.http import html_gate
 from ..operators import matching as m
 from ..operators.discovery import discover, warning_rows
+from ..operators.extractors import Extractor, run_all
 from ..operators.jobs import requested_fields
 from ..operators.network import Limits, network_properties
 from ..sources.elements import elements
 from ..sources.staging import stage
 
 
-def extract(jobs: DataFrame, pages: DataFrame, responses: DataFrame | None = None, limits: Limits = Limits()) -> dict[str, DataFrame]:
+def extract(
+    jobs: DataFrame, pages: DataFrame, responses: DataFrame | None = None, limits: Limits = Limits(), extractors: Sequence[Extractor] = (), totals: Observation | None = None
+) -> dict[str, DataFrame]:
     """All stage tables. jobs: job_id, requested_fields. pages: job_id, html, and perhaps content_type and body_truncated.
 
     responses, if any: job_id, id, sequence, body; their properties compete with those of the
     pages. A page whose stated type isn't HTML gives none. A truncated page gives a warning.
+    extractors are users' own. totals, if given, gets total, valid, partial and invalid of the
+    validation as its rows go by, so they cost no pass of their own.
     """
     if "content_type" in pages.columns:
         pages = pages.where(html_gate(F.col("content_type"), F.octet_length("html")))
@@ -27,10 +34,19 @@ def extract(jobs: DataFrame, pages: DataFrame, responses: DataFrame | None = Non
     properties, warnings = discover(parsed, "job_id")
     if "body_truncated" in pages.columns:
         warnings = warnings.unionByName(warning_rows(pages.where("body_truncated"), "job_id", "dom", F.lit("DOM_SOURCE_TRUNCATED")))
+    for found in (more := run_all(extractors, pages, parsed))[0]:
+        properties = properties.unionByName(found)
+    for left_out in more[1]:
+        warnings = warnings.unionByName(left_out)
     if responses is not None:
         found, left_out = network_properties(responses, "job_id", limits)
         properties, warnings = properties.unionByName(found), warnings.unionByName(left_out)
-    return from_properties(jobs, fields, stage(properties, "properties")) | {"warnings": warnings}
+    tables = from_properties(jobs, fields, stage(properties, "properties")) | {"warnings": warnings}
+    if totals is not None:
+        status = F.col("status")
+        counts = [F.count_if(status == s).alias(s.lower()) for s in ("VALID", "PARTIAL", "INVALID")]
+        tables["validation"] = tables["validation"].observe(totals, F.count(F.lit(1)).alias("total"), *counts)
+    return tables
 
 
 def from_properties(jobs: DataFrame, fields: DataFrame, properties: DataFrame) -> dict[str, DataFrame]:
