@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import access, discovery, network
 from ..sources.elements import elements
 from . import coordination
-from .queries import _DECODED, ORACLE_SQL, _decisions, _ORDERED, _pick, _read, _SIGNALS, _sql_pick, query  # noqa: F401
+from .queries import _attempts, _DECODED, _decisions, _ORDERED, _pick, _read, _sql_pick, _STREAKS, ORACLE_SQL, query
 
 
 def _filled(pattern: str, **given: Column) -> Column:
@@ -305,3 +305,33 @@ def V6_job_to_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         "job_id", "status", "last_access_reason", "attempt", F.coalesce("last_error", F.when(F.col("status").isin("RETRY_SCHEDULED"), F.lit(""))).alias("last_error"), "quality", F.when(good, F.col("headline")).alias("headline"),
         F.when(good, F.col("score")).alias("score"), (F.unix_millis("retry_at") - 1_000_000).alias("retry_ms"), "action",
     )
+
+
+# --- a hot domain ------------------------------------------------------------------------------
+
+_HOT = _STREAKS.replace("user_id", "(CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END)")
+
+
+def _half_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access decisions, every second of them of one domain."""
+    return _attempts(spark, sf_dir).withColumn("domain", F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("domain")))
+
+
+@query(f"{_HOT} SELECT domain, event_id, consecutive_rate_limits, consecutive_failures FROM s")
+def W5_hot_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaks counted slice by slice, as any domain of more than a thousand events is here."""
+    return access.streaks(_half_hot(spark, sf_dir), hot=1_000).select("domain", "event_id", "consecutive_rate_limits", "consecutive_failures")
+
+
+@query(
+    f"""{_HOT}, n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) AS nth FROM s),
+r AS (SELECT domain, arg_max(struct_pack(t := ts, e := event_type), struct_pack(a := ts, b := event_id)) AS r FROM s WHERE event_type IN ('error', 'signup') GROUP BY 1)
+SELECT n.domain, consecutive_rate_limits, consecutive_failures, CASE r.e WHEN 'error' THEN 'RATE_LIMITED' ELSE 'TIMEOUT' END AS last_reason, epoch_us(r.t) // 1000 + 5000 AS cooldown_until_ms, epoch_us(n.ts) // 1000 AS updated_ms
+FROM n JOIN r ON r.domain = n.domain WHERE nth = 1 AND consecutive_rate_limits + consecutive_failures > 0"""
+)
+def T5_hot_domain_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States merged from the summaries of slices, with cooldowns and reasons."""
+    found = access.domain_state(_half_hot(spark, sf_dir), hot=1_000)
+    return found.select(
+        "domain", "consecutive_rate_limits", "consecutive_failures", "last_reason", F.unix_millis("cooldown_until").alias("cooldown_until_ms"), F.unix_millis(F.col("updated_at").cast("timestamp")).alias("updated_ms")
+    )
