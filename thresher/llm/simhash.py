@@ -16,11 +16,11 @@ of two random orders of the set, which alike sets share: rows meet at an anchor
 band. Texts that share no band with another, as unrelated texts do, are left out before any
 copy is made. Of pairs at 0.8 a part finds 46 %, all parts but 1 in 19,000.
 
-Fingerprints only estimate a similarity, so alike() takes what meets as candidates, and
-verifies each on the sets of shingles themselves before it links anything. First the nearest
-candidates of each anchor that connect what can be connected are verified; then, among the
-components of the verified links, every candidate pair that is still apart. So a group of
-thousands of near copies needs few pairs, and no link between different groups is lost.
+Fingerprints only estimate a similarity, so alike() takes what meets as candidates. Their
+components are blocks: within a block the sets of shingles themselves are compared, and what
+is linked, and named by components of its own, are pairs whose sets are similar enough. As
+unrelated texts share no band, a block is a family of texts that are alike in part, and
+doesn't grow by chance as the corpus does. A large block is a grid of bounded cells.
 
 Equal fingerprints (EXACT) or sets (WIDE) are one point, so copies are never compared. A
 crowded anchor is a grid of bounded cells. For components cells return spanning stars of what
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import each_group, grid_of, links_of, spread
+from .blocks import grid_of, links_of, spread
 from .common import column, cut, drop_cut, schema_of, slices, table
 from .graph import components, star_edges
 
@@ -194,17 +194,23 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = star_edges(n + m, a, b)
 
 
-def _compare(words: list[str], distance: int, rows_at_once: int = 256):
+def _compare(words: list[str], distance: int, least: float | None = None, rows_at_once: int = 256):
+    """Links of nodes within the distance, and, given least, of sizes that a similarity of least allows."""
+
     def run(group: dict[str, np.ndarray]) -> pa.RecordBatch | None:
         nodes, at = np.unique(group["node"], return_index=True)
         number = np.searchsorted(nodes, group["node"])
         bits = [group[w][at].view(np.uint64) for w in words]
+        size = group["size"][at] if least is not None else None
         left, right = (np.unique(number[group["side"] == s]) for s in (0, 1))
         a = b = np.zeros(0, dtype=np.int64)
         for k in range(0, len(left), rows_at_once):
             some = left[k : k + rows_at_once]
             differ = sum(np.bitwise_count(x[some][:, None] ^ x[right][None, :]).astype(np.int16) for x in bits)
             near = differ <= distance
+            if least is not None:
+                x, y = size[some][:, None], size[right][None, :]
+                near &= np.minimum(x, y) >= least * np.maximum(x, y)
             i, j = _forest(near) if np.count_nonzero(near) > 4 * sum(near.shape) else np.nonzero(near)
             a, b = np.concatenate([a, some[i]]), np.concatenate([b, right[j]])
             if len(a) > 4 * len(nodes):  # many more links than a spanning star needs
@@ -317,67 +323,67 @@ def _at_anchors(cover: Cover):
     return run
 
 
-def _nearest_forest(differ: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, column) of at most `most` that connect what such pairs connect; in each round every row and column takes its nearest of another component."""
-    n, m = differ.shape
-    far = np.int16(np.iinfo(np.int16).max)
-    a = b = np.zeros(0, dtype=np.int64)
-    label = np.arange(n + m)
-    while True:
-        apart = np.where((differ <= most) & (label[:n, None] != label[None, n:]), differ, far)
-        rows, columns = np.flatnonzero(apart.min(axis=1) < far), np.flatnonzero(apart.min(axis=0) < far)
-        if not len(rows):
-            return a, b
-        a = np.concatenate([a, rows, apart[:, columns].argmin(axis=0)])
-        b = np.concatenate([b, apart[rows].argmin(axis=1), columns])
-        label = star_edges(n + m, a, n + b)
-
+def _verify(words: list[str], distance: int, least: float, elements_at_once: int = 4_000_000):
+    """Links that connect the nodes of a cell whose sets' Jaccard similarity is least or more; of a cell of two chunks only pairs across.
 
-def _pairs(words: list[str], distance: int, least: float, every: bool):
-    """Pairs of a cell that are near and of fitting sizes, each once: those that connect them all, or every one whose roots differ."""
+    Pairs further apart than the distance are none, as a similarity of least differs in far fewer bits.
+    """
 
-    def run(group: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        nodes, at = np.unique(group["node"], return_index=True)
-        number = np.searchsorted(nodes, group["node"])
-        left, right = (np.unique(number[group["side"] == s]) for s in (0, 1))
-        bits, size, root = [group[w][at].view(np.uint64) for w in words], group["size"][at], group["root"][at]
-        a = b = np.zeros(0, dtype=np.int64)
-        for k in range(0, len(left), 1024):
-            some = left[k : k + 1024]
-            differ = sum(np.bitwise_count(x[some][:, None] ^ x[right][None, :]).astype(np.int16) for x in bits)
-            fits = np.minimum(size[some][:, None], size[right][None, :]) >= least * np.maximum(size[some][:, None], size[right][None, :])
-            differ[~fits | (root[some][:, None] == root[right][None, :])] = distance + 1
-            i, j = np.nonzero(differ <= distance) if every else _nearest_forest(differ, distance)
-            a, b = np.concatenate([a, nodes[some[i]]]), np.concatenate([b, nodes[right[j]]])
-        if not len(a):
+    def run(group: dict) -> pa.RecordBatch | None:
+        values, lengths = group["hashes"]
+        bits = [group[w].view(np.uint64) for w in words]
+        chunk, starts, n = group["own"], np.cumsum(lengths) - lengths, len(lengths)
+        across = (chunk != chunk[0]).any()
+        known, ids = np.unique(values, return_inverse=True)
+        marked, label = np.zeros(len(known), dtype=bool), np.arange(n)
+        for i in range(n - 1):
+            other = np.arange(i + 1, n)
+            fits = (label[other] != label[i]) & (np.minimum(lengths[other], lengths[i]) >= least * np.maximum(lengths[other], lengths[i]))
+            fits &= sum(np.bitwise_count(x[other] ^ x[i]).astype(np.int16) for x in bits) <= distance
+            other = other[fits & ((chunk[other] != chunk[i]) | ~across)]
+            if not len(other):
+                continue
+            marked[ids[starts[i] : starts[i] + lengths[i]]] = True
+            ends = np.cumsum(lengths[other])
+            cuts = np.searchsorted(ends, np.arange(0, ends[-1], elements_at_once), side="left").tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(other)], strict=True):
+                some = other[a:b]
+                if not len(some):
+                    continue
+                m = lengths[some]
+                first = np.cumsum(m) - m
+                at = np.repeat(starts[some] - first, m) + np.arange(m.sum())
+                both = np.add.reduceat(marked[ids[at]], first, dtype=np.int64)
+                near = some[both / (m + lengths[i] - both) >= least]
+                label[np.isin(label, label[near])] = label[i]
+            marked[ids[starts[i] : starts[i] + lengths[i]]] = False
+        # Labels are places in the cell, so every tied node has one link to the node that its label names.
+        tied = np.flatnonzero(label != np.arange(n))
+        if not len(tied):
             return None
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(group["node"][tied]), pa.array(group["node"][label[tied]])], names=["a", "b"])
 
     return run
 
 
-def _candidates(points: DataFrame, cover: Cover, distance: int, least: float, chunk: int, every: bool) -> DataFrame:
-    """Different pairs a < b that meet at an anchor of an equal band. points: part, band, node, root, size, w0, ..."""
-    words = [f"w{k}" for k in range(cover.compared)]
-    held = ["node", "root", "size", *words]
-    schema = "key bigint, side int, " + ", ".join(f"{c} bigint" for c in held)
-    rows = points.select("part", "band", *held).mapInArrow(_at_anchors(cover), schema)
+def candidates(sets: DataFrame, distance: int, least: float, cover: Cover, chunk: int) -> DataFrame:
+    """Links a-b that connect the nodes of sets (node, bands, size, w0, ...) that meet at an anchor of an equal band, near enough and of fitting sizes."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = [f"w{k}" for k in range(cover.words)]
+    banded = sets.select("node", F.posexplode("bands").alias("part", "band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    met = cut(banded.join(shared, "band", "left_semi"), "met")
+    points = cut(met.join(sets.select("node", "size", *words), "node").select("part", "band", "node", "size", *words), "points")
+    drop_cut(met)
+    rows = points.mapInArrow(_at_anchors(cover), "key bigint, side int, node bigint, size bigint, " + ", ".join(f"{w} bigint" for w in words))
     cells = grid_of(rows, "key", "side", "node", chunk)
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each_group(cells, "cell", ["side", *held], _pairs(words, distance, least, every), "a bigint, b bigint", parts).distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of least or more."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return two.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
+    found = cut(links_of(cells, "cell", ["side", "node", "size", *words], _compare(words, distance, least), parts), "candidates")
+    drop_cut(points)
+    return found
 
 
 def alike(
-    docs: DataFrame, id_col: str, text_col: str = "text", size: int = 5, least: float = 0.8, distance: int = 62, cover: Cover = WIDE, chunk: int = 2048
+    docs: DataFrame, id_col: str, text_col: str = "text", size: int = 5, least: float = 0.8, distance: int = 62, cover: Cover = WIDE, chunk: int = 512
 ) -> DataFrame:
     """node, the least id of each different set of shingles, and root, the least node that pairs of the similarity `least` or more lead to.
 
@@ -388,22 +394,21 @@ def alike(
     words = [f"w{k}" for k in range(cover.words)]
     first = F.min(F.struct("node", *words, "bands", "size")).alias("s")
     sets = cut(_sketches(docs, id_col, text_col, size, cover).groupBy("hi", "lo").agg(first).select("s.*"), "sets")
-    banded = sets.select("node", F.posexplode("bands").alias("part", "band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    met = cut(banded.join(shared, "band", "left_semi"), "met")
-    points = cut(met.join(sets.select("node", "size", *words), "node").withColumn("root", F.col("node")), "points")
-    near = cut(_candidates(points, cover, distance, least, chunk, every=False), "near")
-    texts = docs.select(column(id_col).alias("node"), column(text_col).alias("text"))
-    wanted = met.select("node").distinct()
-    shingled = cut(texts.join(wanted, "node", "left_semi").mapInArrow(_with_sets(size), "node bigint, hashes array<bigint>"), "shingled")
-    links = cut(_verified(near, shingled, least), "links")
-    roots = cut(components(links).select(F.col("node").alias("tied"), F.col("root").alias("to")), "roots")
-    apart = points.join(roots, points["node"] == roots["tied"], "left").withColumn("root", F.coalesce("to", "root")).drop("tied", "to")
-    rest = cut(_candidates(apart, cover, distance, least, chunk, every=True).join(near, ["a", "b"], "left_anti"), "rest")
-    further = cut(_verified(rest, shingled, least), "links")
-    firsts = components(links.unionByName(further)).select(F.col("node").alias("tied"), F.col("root"))
+    links = candidates(sets, distance, least, cover, 8 * chunk)
+    blocks = cut(components(links), "blocks")
+    whole = blocks.union(blocks.select(F.col("root").alias("node"), "root").distinct())
+    sizes = whole.groupBy("root").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    members = cut(whole.join(sizes, "root").join(sets.select("node", *words), "node"), "members")
+    texts = docs.select(column(id_col).alias("node"), column(text_col).alias("text")).join(members, "node")
+    own = texts.select("node", "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("own"), *words, "text")
+    compared = own.mapInArrow(_with_sets(size), "node bigint, root bigint, chunks bigint, own bigint, " + ", ".join(f"{w} bigint" for w in words) + ", hashes array<bigint>")
+    grid = compared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    cells = grid.withColumn("cell", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    verified = cut(links_of(cells, "cell", ["node", "own", *words, "hashes"], _verify(words, distance + 16, least), parts), "verified")
+    firsts = components(verified).select(F.col("node").alias("tied"), F.col("root"))
     found = cut(sets.select("node").join(firsts, F.col("node") == F.col("tied"), "left").select("node", F.coalesce("root", "node").alias("root")), "alike")
-    for old in (sets, met, points, near, shingled, links, roots, rest, further):
+    for old in (sets, links, blocks, members, verified):
         drop_cut(old)
     return found
 
