@@ -385,30 +385,33 @@ def candidates(sets: DataFrame, distance: int, least: float, cover: Cover, chunk
 def alike(
     docs: DataFrame, id_col: str, text_col: str = "text", size: int = 5, least: float = 0.8, distance: int = 62, cover: Cover = WIDE, chunk: int = 512
 ) -> DataFrame:
-    """node, the least id of each different set of shingles, and root, the least node that pairs of the similarity `least` or more lead to.
+    """node, the id of each text, and root, the least id that equal sets of shingles and pairs of the similarity `least` or more lead to.
 
     The ids are longs, neither null nor repeated. Bands, cover and distance choose the
     candidates; what is linked is decided by the sets. At a similarity of 0.8 the 256 bits
-    differ in 38, give or take 6.
+    differ in 38, give or take 6. Texts are read again for candidates alone, which are told
+    by their ids before anything heavier moves.
     """
     words = [f"w{k}" for k in range(cover.words)]
-    first = F.min(F.struct("node", *words, "bands", "size")).alias("s")
-    sets = cut(_sketches(docs, id_col, text_col, size, cover).groupBy("hi", "lo").agg(first).select("s.*"), "sets")
+    raw = cut(_sketches(docs, id_col, text_col, size, cover), "sketches")
+    sets = cut(raw.groupBy("hi", "lo").agg(F.min(F.struct("node", *words, "bands", "size")).alias("s")).select("hi", "lo", "s.*"), "sets")
     links = candidates(sets, distance, least, cover, 8 * chunk)
     blocks = cut(components(links), "blocks")
     whole = blocks.union(blocks.select(F.col("root").alias("node"), "root").distinct())
     sizes = whole.groupBy("root").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     members = cut(whole.join(sizes, "root").join(sets.select("node", *words), "node"), "members")
-    texts = docs.select(column(id_col).alias("node"), column(text_col).alias("text")).join(members, "node")
-    own = texts.select("node", "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("own"), *words, "text")
-    compared = own.mapInArrow(_with_sets(size), "node bigint, root bigint, chunks bigint, own bigint, " + ", ".join(f"{w} bigint" for w in words) + ", hashes array<bigint>")
-    grid = compared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    wanted = cut(members.select("node"), "wanted")
+    texts = docs.select(column(id_col).alias("node"), column(text_col).alias("text")).join(wanted, "node", "left_semi")
+    shingled = texts.mapInArrow(_with_sets(size), "node bigint, hashes array<bigint>").join(members, "node")
+    own = shingled.withColumn("own", F.pmod(F.xxhash64("node"), "chunks"))
+    grid = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     cells = grid.withColumn("cell", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     verified = cut(links_of(cells, "cell", ["node", "own", *words, "hashes"], _verify(words, distance + 16, least), parts), "verified")
-    firsts = components(verified).select(F.col("node").alias("tied"), F.col("root"))
-    found = cut(sets.select("node").join(firsts, F.col("node") == F.col("tied"), "left").select("node", F.coalesce("root", "node").alias("root")), "alike")
-    for old in (sets, links, blocks, members, verified):
+    tied = components(verified).select(F.col("node").alias("first"), F.col("root").alias("to"))
+    named = cut(sets.select("hi", "lo", F.col("node").alias("first")).join(tied, "first", "left").select("hi", "lo", F.coalesce("to", "first").alias("root")), "named")
+    found = cut(raw.select("node", "hi", "lo").join(named, ["hi", "lo"]).select("node", "root"), "alike")
+    for old in (raw, sets, links, blocks, members, wanted, verified, named):
         drop_cut(old)
     return found
 
