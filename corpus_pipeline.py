@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm.common import cut, packed, table
+from thresher.llm.common import cut, drop_cut, packed, table
 from thresher.llm.packing import pack
 from thresher.llm.quality_rules import judge
 from thresher.llm.secrets import redact
@@ -39,8 +39,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document, the first met, of each group of near-duplicates; repeated rows are such a group, and so are all texts without words."""
     numbered = cut(packed(docs).withColumn("uid", F.monotonically_increasing_id()), "dedup-docs")
     found = alike(numbered, id_col="uid", size=5, least=SIMILAR)
-    kept = found.where(F.col("node") == F.col("root")).select(F.col("node").alias("uid"))
-    return numbered.join(kept, "uid", "left_semi").select("row.*")
+    # The ids that go are fewer than those that stay.
+    gone = cut(found.where(F.col("node") != F.col("root")).select(F.col("node").alias("uid")), "dedup-gone")
+    drop_cut(found)
+    return numbered.join(gone, "uid", "left_anti").select("row.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
