@@ -36,6 +36,15 @@ def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as one side of a join of two tables that both grow with the input: sorted on both sides, never broadcast.
+
+    Estimates come from the size of compressed files and leave out what an explosion adds, so
+    the planner would take millions of rows for a few MB and send them through the driver.
+    """
+    return df.hint("merge")
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """df over all cores where it is too small to be read by as many tasks; larger tables stay as they are read.
 
