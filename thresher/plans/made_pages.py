@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, discovery, network
 from ..sources.elements import elements
+from ..sources.staging import spread
 from . import coordination
 from .queries import _attempts, _DECODED, _decisions, _ORDERED, _pick, _read, _sql_pick, _STREAKS, ORACLE_SQL, query
 
@@ -165,7 +166,7 @@ def X31_strongest_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, warnings = discovery.dom(elements(_read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), html.alias("html"))))
     codes = warnings.groupBy("page_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     more = F.col("codes") == F.array(F.lit("DOM_PROPERTY_LIMIT_REACHED"), F.lit("DOM_VALUE_LIMIT_SKIPPED"))
-    return found.join(codes, "page_id").select("page_id", "prop_ord", "key", "path", F.col("value.s").alias("text"), more.alias("more"))
+    return found.join(spread(codes), "page_id").select("page_id", "prop_ord", "key", "path", F.col("value.s").alias("text"), more.alias("more"))
 
 
 # --- the walk over JSON ---------------------------------------------------------------------
