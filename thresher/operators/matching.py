@@ -2,8 +2,8 @@
 
 Requested fields: job_id, field, field_ord, type, aliases, paths, required. Properties:
 job_id and the columns of discovery. Every step is a function from DataFrames to
-DataFrames; jobs of any number are handled at once, and the rows of a job meet by hash on
-job_id.
+DataFrames; jobs of any number are handled at once, and the rows of a job meet in sorted joins, as
+fields and properties are as many as jobs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import values as v
+from ..sources.staging import spread
 
 # Confidence of each rule, names that stand for one another, and the rank of sources.
 RULES = (("PATH", 1.0), ("EXACT_NAME", 0.98), ("EXACT_ALIAS", 0.95), ("NORMALIZED", 0.9), ("SYNONYM", 0.85))
@@ -39,8 +40,8 @@ def _keyed(fields: DataFrame) -> DataFrame:
 def match(fields: DataFrame, properties: DataFrame) -> DataFrame:
     """Candidates: for every field and property the first rule that holds.
 
-    The rules are equalities of normalised keys, so this is one hash join on job, rule and
-    key; a field and a property that meet in several ways keep the best.
+    The rules are equalities of normalised keys, so this is one join on job, rule and key,
+    spread over the cluster; a field and a property that meet in several ways keep the best.
     """
     keys = F.array(
         F.struct(F.lit(0).alias("rule"), t.normalize_path(F.col("path")).alias("match")),
@@ -49,7 +50,7 @@ def match(fields: DataFrame, properties: DataFrame) -> DataFrame:
         F.struct(F.lit(3).alias("rule"), t.normalize_identifier(F.col("key")).alias("match")),
         F.struct(F.lit(4).alias("rule"), t.normalize_identifier(F.col("key")).alias("match")),
     )
-    found = properties.withColumn("ways", keys).select("*", F.inline("ways")).drop("ways").join(_keyed(fields), ["job_id", "rule", "match"])
+    found = properties.withColumn("ways", keys).select("*", F.inline("ways")).drop("ways").join(spread(_keyed(fields)), ["job_id", "rule", "match"])
     best = Window.partitionBy("job_id", "field", "field_ord", "ext_ord", "prop_ord").orderBy("rule")
     found = found.withColumn("nth", F.row_number().over(best)).where("nth = 1")
     confidence = F.element_at(F.array(*(F.lit(c) for _, c in RULES)), F.col("rule") + 1)
@@ -72,7 +73,7 @@ def _in_order(a: Column, b: Column) -> Column:
 
 def missing(fields: DataFrame, candidates: DataFrame) -> DataFrame:
     """Requested fields without a candidate."""
-    return fields.join(candidates.select("job_id", "field").distinct(), ["job_id", "field"], "left_anti")
+    return fields.join(spread(candidates.select("job_id", "field").distinct()), ["job_id", "field"], "left_anti")
 
 
 def _names(condition: Column, name: str) -> Column:
@@ -83,11 +84,11 @@ def _names(condition: Column, name: str) -> Column:
 def extraction(jobs: DataFrame, fields: DataFrame, candidates: DataFrame) -> DataFrame:
     """A row for each job: status PARSED, PARTIAL or NO_DATA, and the missing fields in order."""
     met = candidates.select("job_id", "field").distinct().withColumn("met", F.lit(True))
-    per = fields.join(met, ["job_id", "field"], "left").groupBy("job_id").agg(
+    per = fields.join(spread(met), ["job_id", "field"], "left").groupBy("job_id").agg(
         F.count("*").alias("n"), F.count_if("met").alias("n_met"), _names(F.col("met").isNull(), "missing_fields")
     )
     status = F.when(F.coalesce("n_met", F.lit(0)) == 0, "NO_DATA").when(F.col("n") == F.col("n_met"), "PARSED").otherwise("PARTIAL")
-    out = jobs.select("job_id").join(per, "job_id", "left")
+    out = jobs.select("job_id").join(spread(per), "job_id", "left")
     return out.select("job_id", status.alias("status"), F.coalesce("missing_fields", F.array().cast("array<string>")).alias("missing_fields"))
 
 
@@ -102,7 +103,7 @@ def resolve(candidates: DataFrame) -> DataFrame:
 
 def normalize(fields: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Normalized fields (type, original_value, value), and issues for what doesn't convert."""
-    typed = fields.select("job_id", "field", "type").join(resolved, ["job_id", "field"])
+    typed = fields.select("job_id", "field", "type").join(spread(resolved), ["job_id", "field"])
     tried = typed.withColumnRenamed("value", "original_value").withColumn("tried", v.convert(F.col("original_value"), F.col("type")))
     good = tried.where("tried.code is null").select(
         "job_id", "field", "field_ord", "type", "original_value", F.col("tried.value").alias("value"), "confidence", "evidence"
@@ -118,7 +119,7 @@ def validate(jobs: DataFrame, fields: DataFrame, normalized: DataFrame, issues:
     """A row for each job (VALID, PARTIAL or INVALID, and the field lists), and validation issues."""
     failed = issues.groupBy("job_id", "field").agg(F.min(F.struct("code", "message")).alias("issue"))
     held = normalized.select("job_id", "field", F.col("type").alias("declared"), "value")
-    rows = fields.join(failed, ["job_id", "field"], "left").join(held, ["job_id", "field"], "left")
+    rows = fields.join(spread(failed), ["job_id", "field"], "left").join(spread(held), ["job_id", "field"], "left")
     required = F.coalesce("required", F.lit(False))
     state = (
         F.when(F.col("issue").isNotNull(), "FAILED").when(F.col("value").isNull(), "MISSING")
@@ -146,7 +147,7 @@ def validate(jobs: DataFrame, fields: DataFrame, normalized: DataFrame, issues:
     )
     none = F.array().cast("array<string>")
     lists = [F.coalesce(c, none).alias(c) for c in ("valid_fields", "invalid_fields", "missing_fields")]
-    return jobs.select("job_id").join(per, "job_id", "left").select("job_id", status.alias("status"), *lists), found
+    return jobs.select("job_id").join(spread(per), "job_id", "left").select("job_id", status.alias("status"), *lists), found
 
 
 def outcome(validation: DataFrame) -> DataFrame:
