@@ -18,19 +18,20 @@ from ..sources.staging import stage
 
 
 def extract(
-    jobs: DataFrame, pages: DataFrame, responses: DataFrame | None = None, limits: Limits = Limits(), extractors: Sequence[Extractor] = (), totals: Observation | None = None
+    jobs: DataFrame, pages: DataFrame, responses: DataFrame | None = None, limits: Limits = Limits(), extractors: Sequence[Extractor] = (), totals: Observation | None = None,
+    whole_references: bool = False,
 ) -> dict[str, DataFrame]:
     """All stage tables. jobs: job_id, requested_fields. pages: job_id, html, and perhaps content_type and body_truncated.
 
     responses, if any: job_id, id, sequence, body; their properties compete with those of the
     pages. A page whose stated type isn't HTML gives none. A truncated page gives a warning.
     extractors are users' own. totals, if given, gets total, valid, partial and invalid of the
-    validation as its rows go by, so they cost no pass of their own.
+    validation as its rows go by, so they cost no pass of their own. whole_references: see elements().
     """
     if "content_type" in pages.columns:
         pages = pages.where(html_gate(F.col("content_type"), F.octet_length("html")))
     fields = requested_fields(jobs)
-    parsed = stage(elements(pages, "html", "job_id"), "elements")  # pages are parsed once for all extractors
+    parsed = stage(elements(pages, "html", "job_id", whole_references), "elements")  # pages are parsed once for all extractors
     properties, warnings = discover(parsed, "job_id")
     if "body_truncated" in pages.columns:
         warnings = warnings.unionByName(warning_rows(pages.where("body_truncated"), "job_id", "dom", F.lit("DOM_SOURCE_TRUNCATED")))
