@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from thresher.operators import discovery
+from thresher.operators import access, discovery
 from thresher.plans import extraction
 from thresher.plans.registry import QUERIES
 
@@ -49,3 +49,16 @@ def test_microdata_without_broadcasts(spark, plans, name):
     plans.append(QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString())
     assert not any("Broadcast" in p for p in plans)
     assert sum(p.count("MapInArrow") for p in plans) == 1  # pages are parsed once
+
+
+def test_bodies_are_prepared_once(spark):
+    """Not for each marker, nor again for a filter that the optimizer derives from an explosion."""
+    rows = spark.sql("select id as job_id, cast(cast(id as string) as binary) as raw_body, map('content-type', array('text/html')) as headers from range(3)")
+    plan = access.challenge_signals(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(") + plan.count("substr(") == 1
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data here")
+def test_responses_are_read_once(spark):
+    """The warnings of N6 read what is staged, not the events and their budgets over and over."""
+    assert "events.parquet" not in QUERIES["N6_walk_warnings"](spark, DATA)._jdf.queryExecution().executedPlan().toString()

@@ -82,7 +82,9 @@ def _lookup(x: Column, found: dict, default: object = None) -> Column:
 def _signals(rows: DataFrame, det: int, source: str, found: Column, phase: Column | None = None) -> DataFrame:
     """found: array of struct<reason, confidence, evidence>; null entries are none."""
     kept = F.filter(found, lambda s: s["reason"].isNotNull())
-    return rows.select("job_id", F.lit(det).alias("det_ord"), F.posexplode(kept).alias("sig_ord", "s"), F.lit(source).alias("source"), (phase if phase is not None else F.lit(None).cast("string")).alias("failure_phase")).select(
+    # Outer, so that no filter on the array's size is derived, which would inspect bodies twice.
+    every = rows.select("job_id", F.lit(det).alias("det_ord"), F.posexplode_outer(kept).alias("sig_ord", "s"), F.lit(source).alias("source"), (phase if phase is not None else F.lit(None).cast("string")).alias("failure_phase"))
+    return every.where("s is not null").select(
         "job_id", "det_ord", "sig_ord", "s.reason", "source", "s.confidence", "failure_phase", "s.evidence"
     )
 
@@ -137,16 +139,21 @@ def is_inspectable(content_type: Column) -> Column:
 
 def challenge_signals(envelopes: DataFrame) -> DataFrame:
     """Human checks, login walls and security challenges that the first part of the body shows."""
+    rows = envelopes.where(F.col("raw_body").isNotNull() & is_inspectable(http.first_header(F.col("headers"), "content-type"))).select("job_id", "raw_body")
     body = F.lower(http.body_text(F.substring("raw_body", 1, INSPECTED)))
-    rows = envelopes.where(F.col("raw_body").isNotNull() & is_inspectable(http.first_header(F.col("headers"), "content-type"))).select("job_id", body.alias("body"))
-    b = F.col("body")
+    # The variable of a function, so that a body is cut and lower-cased once and not for each marker.
+    return _signals(rows, 3, "BODY", F.get(F.transform(F.array(body), _challenges), F.lit(0)))
+
+
+def _challenges(b: Column) -> Column:
+    """Signals that a lower-cased body shows."""
     sure = lambda *steps: reduce(lambda w, s: w.when(s[0], s[1]), steps[1:], F.when(*steps[0]))
     any_of = lambda words: http.contains_any(b, words)
     captcha = sure((any_of(CAPTCHA_MARKERS), 0.99), (any_of(CAPTCHA_PHRASES), 0.98), (F.contains(b, F.lit("captcha")), 0.72))
     login = sure((any_of(LOGIN_PHRASES), 0.97), (b.rlike(LOGIN_INPUT) & any_of(LOGIN_WORDS), 0.94))
     security = sure((any_of(SECURITY_MARKERS), 0.99), (any_of(SECURITY_PHRASES), 0.96), (any_of(SECURITY_PAIR[0]) & any_of(SECURITY_PAIR[1]), 0.9))
     one = lambda reason, c: _signal(F.when(c.isNotNull(), F.lit(reason)), c, F.lit(f"{reason} marker in body"))
-    return _signals(rows, 3, "BODY", F.array(one("CAPTCHA", captcha), one("LOGIN_REQUIRED", login), one("SECURITY_CHALLENGE", security)))
+    return F.array(one("CAPTCHA", captcha), one("LOGIN_REQUIRED", login), one("SECURITY_CHALLENGE", security))
 
 
 def signals(envelopes: DataFrame) -> DataFrame:

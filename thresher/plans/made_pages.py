@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, discovery, network
 from ..sources.elements import elements
-from ..sources.staging import spread
+from ..sources.staging import dealt, spread
 from . import coordination
 from .queries import _attempts, _DECODED, _decisions, _ORDERED, _pick, _read, _sql_pick, _STREAKS, ORACLE_SQL, query
 
@@ -243,7 +243,7 @@ def F6_inspected_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of several types whose marker stands early, ends at the last inspected byte, or ends one byte later."""
     marker, turn = "g-recaptcha", F.col("s_suppkey") % 3
     before = F.when(turn == 0, 5).when(turn == 1, access.INSPECTED - len(marker)).otherwise(access.INSPECTED - len(marker) + 1)
-    rows = _read(spark, sf_dir, "supplier")
+    rows = dealt(_read(spark, sf_dir, "supplier"))  # before bodies of 256 KB each are made of rows that one task reads
     found = access.challenge_signals(rows.select(*_plain_envelope("s_suppkey", F.concat(F.repeat(F.lit("."), before), F.lit(marker + " and more")), _pick("s_suppkey", _TYPES))))
     return found.select("job_id", "reason")
 
