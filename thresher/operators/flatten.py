@@ -307,7 +307,8 @@ def _walked(documents: DataFrame, keep: Sequence[str], walk: Walk) -> DataFrame:
     walked = told.select(*keep, F.when(F.col("is_odd"), F.col("json")).alias("odd"), "good", whole.alias("whole"), F.when(F.col("good") & (F.col("most") > 0), nodes).alias("nodes"))
     bad = F.array(F.lit(None).cast("struct<" + ", ".join(c.replace(" ", ": ") for c in _NODE.split(", ")) + ">"))
     event = F.when(F.col("good"), _events(walk, F.col("nodes"))).otherwise(bad)
-    rows = walked.select(*keep, "odd", "good", "whole", F.posexplode(event).alias("leaf_ord", "n"))
+    # Outer, so that no filter on the array's size is derived, which would walk every document twice.
+    rows = walked.select(*keep, "odd", "good", "whole", F.posexplode_outer(event).alias("leaf_ord", "n")).where("leaf_ord is not null")
     n, leaf, kind = F.col("n"), F.coalesce(F.col("n.leaf"), F.lit(False)), F.col("n.kind")
     value = F.struct(
         kind.alias("kind"), F.when(kind == "string", n["text"]).alias("s"), F.when(kind == "number", n["text"].cast("double")).alias("n"), F.when(kind == "boolean", n["text"] == "true").alias("b"),

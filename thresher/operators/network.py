@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import http
 from ..functions.text import snippet, trim
 from ..functions.values import shown
+from ..sources.staging import spread, stage
 from .discovery import property_rows, warning_rows
 from .flatten import Walk, flatten
 
@@ -73,7 +74,7 @@ def within_budget(responses: DataFrame, key: str = "job_id", most: int = MAX_BOD
     per = small.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", F.col("body_bytes").cast("bigint").alias("size")))).alias("held"))
     fits = greedy_budget(F.transform("held", lambda h: h["size"]), total)
     taken = per.select(key, F.inline(F.arrays_zip(F.transform("held", lambda h: h["nth"]).alias("nth"), fits.alias("taken"))))
-    return first.join(taken, [key, "nth"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    return first.join(spread(taken), [key, "nth"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
 def capture_summary(responses: DataFrame, key: str = "job_id") -> DataFrame:
@@ -106,6 +107,8 @@ def network_properties(responses: DataFrame, key: str = "job_id", limits: Limits
     """
     some = F.coalesce(trim(F.col("body")), F.lit("")) != ""
     told = within_budget(responses.withColumn("body_bytes", F.when(some, F.octet_length("body"))), key, limits.body_bytes, limits.total_bytes, limits.responses)
+    # Staged, as the walk and three of the warnings read it; of bodies only what is walked.
+    told = stage(told.select(key, "id", "sequence", "nth", "body_bytes", "taken", F.when(F.col("taken"), F.col("body")).alias("body")), "budgeted")
     ready = told.where("taken").select(key, "id", "sequence", strip_guards(F.col("body")).alias("body")).where(looks_like_json(F.col("body")))
     flat = flatten(ready, "body", [key, "id", "sequence"], limits.walk())
     order = Window.partitionBy(key).orderBy("sequence", "leaf_ord")
