@@ -106,3 +106,13 @@ def test_empty_schema_and_no_data(spark):
     assert {r["job_id"]: (r["status"], r["missing_fields"]) for r in validation.collect()} == {1: ("INVALID", []), 2: ("INVALID", ["a"])}
     assert [r["message"] for r in found.collect()] == ['Required field "a" is missing.']
     assert {r["decision"] for r in matching.outcome(validation).collect()} == {"PARSER_FAILURE"}
+
+
+def test_forms_that_stay_as_they_are(spark):
+    """What a pattern tells to be in its form already, and what only looks like it."""
+    texts = ["", " ", "a", "a b", "a  b", " a", "a ", "a\n", "a\tb", "é è", "a\u00a0b", "w " * 5000 + "w", None]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select(text.collapse(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["", "", "a", "a b", "a b", "a", "a", "a", "a b", "é è", "a b", "w " * 5000 + "w", None]
+    keys = ["lot-code", "lot--code", "-a", "a-", "Lot Code:", "lot_code", "lotCode", "lot-code\n", "é-a", "a9-9", "", None]
+    got = spark.createDataFrame([(x,) for x in keys], "x string").select(text.normalize_key(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["lot-code", "lot-code", "a", "a", "lot-code", "lot-code", "lot-code", "lot-code", "é-a", "a9-9", "", None]

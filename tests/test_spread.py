@@ -9,6 +9,7 @@ import pytest
 from thresher.operators import access, discovery
 from thresher.plans import extraction
 from thresher.plans.registry import QUERIES
+from thresher.sources.elements import elements
 
 DATA = "/root/testdata/sf0.001"
 
@@ -36,6 +37,19 @@ def test_discovery_without_broadcasts(spark, plans, name):
     assert sum("MapInArrow" in p for p in plans) == 1  # pages are parsed once
 
 
+def test_chains_of_ancestors_are_not_exchanged(spark, monkeypatch):
+    """Paths are made of them where pages are parsed; neither they nor the counts of classes are exchanged or staged."""
+    staged = []
+    monkeypatch.setattr(discovery, "stage", lambda df, *args, real=discovery.stage: staged.append(df) or real(df, *args))
+    pages = spark.createDataFrame([(1, '<body><p data-lot="a">b</p></body>')], "page_id long, html string")
+    found = discovery.dom(elements(pages))[0]
+    assert [r["path"] for r in found.collect()] == ["body > p"]
+    plan = staged[0]._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")].rsplit("Project", 1)[0]  # what stands over the projection on parsed rows
+    assert "Window" in above and "chain" not in above and "class_counts" not in above
+    assert not {"chain", "class_counts"} & {c for df in staged for c in df.columns}
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test data here")
 @pytest.mark.parametrize("name", ["J1_field_match", "J2_missing_fields", "G2_extraction_status", "G5_validation_status", "validated_records", "G3_resolve", "G7_validation_issues"])
 def test_matching_without_broadcasts(spark, plans, name):

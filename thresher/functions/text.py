@@ -33,6 +33,11 @@ CONTROL_PREFIXES = ("radix-", "headlessui-")
 _BLANK = r"(?U)[\s\x{FEFF}]"
 
 
+#: Forms that the functions below leave as they are, each told by one pattern; possessive, so that matching doesn't recurse.
+_COLLAPSED = r"^(?:[!-~]++(?: [!-~]++)*+)?\z"
+_KEY = r"^[a-z0-9]++(?:-[a-z0-9]++)*+\z"
+
+
 def trim(x: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(x, rf"^{_BLANK}+|{_BLANK}+$", "")
@@ -40,7 +45,7 @@ def trim(x: Column) -> Column:
 
 def collapse(x: Column) -> Column:
     """White space runs as one blank, none at the ends."""
-    return trim(F.regexp_replace(x, rf"{_BLANK}+", " "))
+    return apart(lambda x: F.when(x.rlike(_COLLAPSED), x).otherwise(trim(F.regexp_replace(x, rf"{_BLANK}+", " "))), x)
 
 
 def normalize_identifier(x: Column) -> Column:
@@ -59,7 +64,7 @@ def normalize_path(x: Column) -> Column:
 
 def normalize_key(x: Column) -> Column:
     """A label or attribute name as lower-case words joined by hyphens."""
-    return apart(_hyphened, x)
+    return apart(lambda x: F.when(x.rlike(_KEY), x).otherwise(_hyphened(x)), x)
 
 
 def _hyphened(x: Column) -> Column:
@@ -104,13 +109,13 @@ def is_semantic(x: Column) -> Column:
         bare = F.regexp_replace(full, ":+$", "")
         return F.length(full).between(1, 120) & apart(lambda both: named(both["bare"], both["key"]), F.struct(bare.alias("bare"), normalize_key(bare).alias("key")))
 
-    return F.coalesce(apart(good, trim(x)), F.lit(False))
+    return F.coalesce(F.when(x.isNotNull(), apart(good, trim(x))), F.lit(False))
 
 
 def is_label(x: Column) -> Column:
     """Whether a text can be a label: 1 to 80 characters, at most 10 words, semantic."""
     fits = lambda text: F.length(text).between(1, 80) & (F.size(F.split(text, " ")) <= 10) & is_semantic(text)
-    return F.coalesce(apart(fits, collapse(x)), F.lit(False))
+    return F.coalesce(F.when(x.isNotNull(), apart(fits, collapse(x))), F.lit(False))
 
 
 def json_path(base: Column, key: Column) -> Column:
