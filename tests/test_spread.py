@@ -37,6 +37,19 @@ def test_discovery_without_broadcasts(spark, plans, name):
     assert sum("MapInArrow" in p for p in plans) == 1  # pages are parsed once
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data here")
+def test_named_elements_run_without_broadcasts(spark):
+    """Adaptive execution joins anew by what it has measured; the plans that ran broadcast nothing either."""
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsList().size()
+    assert len(QUERIES["X21_named_elements"](spark, DATA).collect()) == 9 * 200
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = [runs.executionsList().apply(i).physicalPlanDescription() for i in range(before, runs.executionsList().size())]
+    assert len(ran) == 3 and all("isFinalPlan=true" in p for p in ran)
+    assert not any("Broadcast" in p for p in ran)
+    assert sum("MapInArrow" in p for p in ran) == 1  # pages are parsed once
+
+
 def test_chains_of_ancestors_are_not_exchanged(spark, monkeypatch):
     """Paths are made of them where pages are parsed; neither they nor the counts of classes are exchanged or staged."""
     staged = []
